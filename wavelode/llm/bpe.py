@@ -22,12 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-#: Pieces and fragments remembered in each of two generations; the older one goes when the younger is full.
-REMEMBERED = 350_000
+#: Pieces, and words, remembered in each of two generations; the older one goes when the younger is full.
+REMEMBERED = 150_000
+#: Bytes of text whose pieces are told apart at once.
+BLOCK_BYTES = 8_000_000
 
 _PLAIN = re.compile(rb"[!-~]+")
 
@@ -63,7 +66,7 @@ class Bpe:
         self.token_bytes = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
         self.inside = {t[i : i + 2] for w in self.vocab for t in [w.removesuffix(self.suffix)] for i in range(len(t) - 1)}
         self.special = re.compile(b"(" + b"|".join(re.escape(t.encode()) for t in sorted(self.added, key=len, reverse=True)) + b")") if self.added else None
-        self.pieces = _Pieces(self)
+        self.pieces, self.word_ids = _Memory(self.piece), _Memory(self.word)
 
     def split(self, word: str) -> list[str]:
         """Fragments of a byte-level word, cut at the forced boundaries."""
@@ -79,16 +82,19 @@ class Bpe:
             return self.plain_words(piece.decode().lower())
         return [w for w, _ in self.pre_tokenize(self.normalize(piece.decode("utf-8", "replace")))]
 
-    def piece(self, piece: bytes) -> bytes:
-        """Ids of a piece between white space: those of its fragments, one after the other."""
+    def word(self, word: str) -> bytes:
+        """Ids of a byte-level word: those of its fragments, one after the other."""
+        *first, last = self.split(word)
         ids: list[int] = []
-        for word in self.words(piece):
-            *first, last = self.split(word)
-            for fragment in first:
-                ids += [t.id for t in self.inner(fragment)]
-            ids += [t.id for t in self.final(last)]
+        for fragment in first:
+            ids += [t.id for t in self.inner(fragment)]
+        ids += [t.id for t in self.final(last)]
         return array("I", ids).tobytes()
 
+    def piece(self, piece: bytes) -> bytes:
+        """Ids of a piece between white space."""
+        return b"".join(map(self.word_ids.__getitem__, self.words(piece)))
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
@@ -96,31 +102,63 @@ class Bpe:
         data = text.encode("utf-8", "replace")
         get = self.pieces.__getitem__
         if self.special is None or b"<" not in data or not self.special.search(data):
-            return b"".join(map(get, data.split()))
+            return b"".join(map(get, self.fold(data).split()))
         out = []
         for i, part in enumerate(self.special.split(data)):
-            out.append(np.array([self.added[part.decode()]], "<u4").tobytes() if i % 2 else b"".join(map(get, part.split())))
+            out.append(np.array([self.added[part.decode()]], "<u4").tobytes() if i % 2 else b"".join(map(get, self.fold(part).split())))
         return b"".join(out)
 
+    def encode_block(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a piece that is common in the block is looked up once."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, "|".join(["[\\x{300}-\\x{37f}]", *map(re.escape, self.added)])).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(plain) if self.lowers else plain)
+        coded = lists.flatten().dictionary_encode()
+        found = list(map(self.pieces.__getitem__, coded.dictionary.cast(pa.large_binary()).to_pylist()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        length = sizes[at]
+        ends = np.cumsum(length)
+        ids = flat[np.repeat(starts[at] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [np.frombuffer(self.encode(texts[i].as_py()), "<u4") if odd[i] else ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, block by block."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+            yield from self.encode_block(texts.slice(at, upto - at))
+            at = upto
+
+    def fold(self, data: bytes) -> bytes:
+        """A-Z in lower case ahead of the normaliser, where no combining accent (U+0300 to U+037F) could join a letter."""
+        return data.lower() if self.lowers and b"\xcc" not in data and b"\xcd" not in data else data
+
     def decode(self, ids: bytes) -> bytes:
         """The tokens' strings with a space between, in UTF-8: what a file without a decoder gives."""
         return b" ".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-class _Pieces(dict):
-    def __init__(self, bpe: Bpe):
+class _Memory(dict):
+    """Remembers what ``make`` gave for the commoner keys."""
+
+    def __init__(self, make):
         super().__init__()
-        self.bpe, self.older = bpe, {}
+        self.make, self.older = make, {}
 
-    def __missing__(self, piece: bytes) -> bytes:
-        ids = self.older.get(piece)
+    def __missing__(self, key):
+        ids = self.older.get(key)
         if ids is None:
-            ids = self.bpe.piece(piece)
-        if len(piece) <= 64:
+            ids = self.make(key)
+        if len(key) <= 64:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
                 self.clear()
-            self[piece] = ids
+            self[key] = ids
         return ids
 
 
@@ -141,8 +179,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in common.slices(batches):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            ids = [np.frombuffer(bpe.encode(t), "<i4") for t in texts]
+            ids = [x.astype(np.int32) for x in bpe.encode_all(batch.column(batch.schema.get_field_index(text_col)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, ids_col])
 
     return docs.drop(ids_col).mapInArrow(run, schema.schema)
@@ -167,11 +204,11 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in common.slices(batches):
+        for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text)
-                n.append(len(ids) // 4)
+            for found in bpe.encode_all(batch.column(1)):
+                ids = found.tobytes()
+                n.append(len(found))
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

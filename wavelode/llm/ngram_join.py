@@ -13,7 +13,9 @@ distinct ``k``-word shingles, and gives every row the smallest id it reaches by
    that pass the size and position bounds and are not yet in its component.  Later rounds take
    eight times as many pivots from the runs that still span components, until none is left.  Thus a
    group of near copies costs a star, not all its pairs, and no pair between components is skipped.
-4. A pivot and a block of at most about ``BLOCK`` partners are searched with DivideSkip: the long
+4. A pair whose 1024-bit parity signatures differ in more bits than the sets may differ in elements
+   is out: the sets of such pairs, which share a shingle by chance, are never fetched.
+5. A pivot and a block of at most about ``BLOCK`` partners are searched with DivideSkip: the long
    inverted lists are set aside, the short ones heap-merged with skips, and what the heap yields is
    probed in the long ones by binary search.  A count that reaches the required overlap is the exact
    size of the intersection.
@@ -39,6 +41,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 SKETCH_BITS = 20
+SIGNATURE_BITS = 1024
 CHUNKS = 64
 BLOCK = 256
 FIRST_PIVOTS = 3
@@ -86,6 +89,11 @@ def shingle_set(words: list[bytes], k: int, hashes: dict) -> np.ndarray:
     return np.unique(s)
 
 
+def signature(grams: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of shingles falls to i.  Two signatures differ in no more bits than their sets differ in elements."""
+    return np.packbits(np.bincount((grams & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1).tobytes()
+
+
 def sequence_digest(words: list[bytes]) -> tuple[int, int]:
     d = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -103,7 +111,7 @@ def _digest_scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, seen = _WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64), set()
         shift, pending = np.uint64(64 - SKETCH_BITS), []
-        schema = pa.schema([("id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
         def flush() -> None:
             if pending:
@@ -113,15 +121,15 @@ def _digest_scan(k: int):
         held = 0
         for batch in common.slices(batches):
             ids, texts = _columns(batch, "id", "text")
-            d1, d2, n = [], [], []
+            d1, d2, n, sig = [], [], [], []
             for text in texts:
                 words = words_of(text)
                 if not words:
-                    d1.append(None), d2.append(None), n.append(0)
+                    d1.append(None), d2.append(None), n.append(0), sig.append(None)
                     continue
                 d = sequence_digest(words)
                 s = shingle_set(words, k, hashes)
-                d1.append(d[0]), d2.append(d[1]), n.append(len(s))
+                d1.append(d[0]), d2.append(d[1]), n.append(len(s)), sig.append(signature(s))
                 if d not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
@@ -132,12 +140,12 @@ def _digest_scan(k: int):
                         flush()
                         held = 0
             none = pa.nulls(len(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()), none, pa.nulls(len(ids), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), none, pa.nulls(len(ids), pa.binary())], schema=schema)
         flush()
         size = len(counts) // CHUNKS
         rows = [(c, zlib.compress(part.astype("<u4").tobytes(), 1)) for c in range(CHUNKS) if (part := counts[c * size : (c + 1) * size]).any()]
         empty = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
     return run
 
@@ -267,6 +275,18 @@ def _emit_pairs(low: int, high: int, num: int, den: int):
     return run
 
 
+def _near_signatures(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, x, np_, nx = (c.astype(np.int64) for c in _arrays(batch, "p", "x", "np", "nx"))
+            a, b = (np.frombuffer(b"".join(c), np.uint8).reshape(len(p), -1) for c in _columns(batch, "sp", "sx"))
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            keep = apart <= np_ + nx - 2 * -(-num * (np_ + nx) // (num + den))
+            yield pa.RecordBatch.from_arrays([pa.array(p[keep]), pa.array(x[keep])], names=["p", "x"])
+
+    return run
+
+
 def divide_skip(lists: list[list[int]], need: int) -> dict[int, int]:
     """Ids that at least ``need`` of the sorted ``lists`` hold, with their counts."""
     lists = sorted((x for x in lists if x), key=len)
@@ -368,8 +388,8 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    both = common.stage(source.mapInArrow(_digest_scan(k), "id long, d1 long, d2 long, n int, chunk int, counts binary"), "ngram-rows")
-    rows = both.where("n is not null").select("id", "d1", "d2", "n")
+    both = common.stage(source.mapInArrow(_digest_scan(k), "id long, d1 long, d2 long, n int, sig binary, chunk int, counts binary"), "ngram-rows")
+    rows = both.where("n is not null").select("id", "d1", "d2", "n", "sig")
     sketch = both.where("chunk is not null").select("chunk", "counts").repartition(min(CHUNKS, parts), "chunk").mapInArrow(_add_sketches, "chunk int, levels binary").collect()  # 2**20 bytes
     size = (1 << SKETCH_BITS) // CHUNKS
     levels = bytearray(1 << SKETCH_BITS)
@@ -396,6 +416,14 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             now = now.join(open_runs, "token", "left_semi")
         pairs = now.repartition(parts, "token").sortWithinPartitions("token", "place").mapInArrow(_emit_pairs(low, high, num, den), "p long, x long")
         pairs = common.stage(pairs.distinct(), "ngram-pairs")
+        ends = pairs.select(F.col("p").alias("node")).union(pairs.select(F.col("x").alias("node"))).distinct().join(nodes, "node")
+        signed = rows.withColumnRenamed("id", "node").join(ends, ["node", "d1", "d2"]).dropDuplicates(["node"]).select("node", "n", "sig")
+        signed = common.stage(signed, "ngram-signatures")
+        both_ends = pairs.join(signed.toDF("p", "np", "sp"), "p").join(signed.toDF("x", "nx", "sx"), "x")
+        near = common.stage(both_ends.mapInArrow(_near_signatures(num, den), "p long, x long"), "ngram-near")
+        common.unstage(pairs)
+        common.unstage(signed)
+        pairs = near
         per_pivot = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         needed = pairs.select(F.col("p").alias("node")).union(pairs.select(F.col("x").alias("node"))).distinct().join(nodes, "node")
         needed = common.stage(needed, "ngram-needed")

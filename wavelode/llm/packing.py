@@ -69,10 +69,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(path)
         width = "<u2" if len(coder.token_bytes) <= 1 << 16 else "<u4"
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, 2048):
             out, points = [], []
-            for text in batch.column(1).to_pylist():
-                ids = np.append(np.frombuffer(coder.encode(text), "<u4"), np.uint32(end_id))
+            for found in coder.encode_all(batch.column(1)):
+                ids = np.append(found, np.uint32(end_id))
                 points.append(curve_points(ids))
                 out.append(ids.astype(width).tobytes())
             keys = hilbert_keys(np.array(points)) if points else []
