@@ -27,12 +27,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-#: Pieces, and words, remembered in each of two generations; the older one goes when the younger is full.
-REMEMBERED = 150_000
+#: Pieces remembered in each of two generations, and four times as many as words; the older one goes when the younger is full.
+REMEMBERED = 280_000
 #: Bytes of text whose pieces are told apart at once.
 BLOCK_BYTES = 8_000_000
 
-_PLAIN = re.compile(rb"[!-~]+")
+#: Printable ASCII and the letters U+00C0 to U+00FF: no normal form changes them, and their classes are plain.
+_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_LETTERS, _DIGITS = "a-z\u00df-\u00f6\u00f8-\u00ff", "0-9"
+#: Bytes that the byte-level alphabet shows as other characters: U+0100 and on, in order.
+_SHOWN = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class Bpe:
@@ -58,15 +62,15 @@ class Bpe:
         self.inner = models.BPE(self.vocab, merges).tokenize
         self.final = models.BPE(self.vocab, merges, end_of_word_suffix=self.suffix).tokenize
         pattern = steps[0]["pattern"]["Regex"]
-        #: The pattern over printable ASCII in lower case, where its classes are plain.
-        self.plain_words = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")).findall
+        #: The pattern over plain characters in lower case.
+        self.plain_words = re.compile(pattern.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _DIGITS)).findall
         self.lowers = "Lowercase" in json.dumps(spec["normalizer"])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.token_bytes = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
         self.inside = {t[i : i + 2] for w in self.vocab for t in [w.removesuffix(self.suffix)] for i in range(len(t) - 1)}
         self.special = re.compile(b"(" + b"|".join(re.escape(t.encode()) for t in sorted(self.added, key=len, reverse=True)) + b")") if self.added else None
-        self.pieces, self.word_ids = _Memory(self.piece), _Memory(self.word)
+        self.pieces, self.word_ids = _Memory(self.piece, REMEMBERED), _Memory(self.word, REMEMBERED // 4)
 
     def split(self, word: str) -> list[str]:
         """Fragments of a byte-level word, cut at the forced boundaries."""
@@ -78,8 +82,12 @@ class Bpe:
 
     def words(self, piece: bytes) -> list[str]:
         """Byte-level words of a piece, as the file's normaliser and pre-tokenizer make them."""
-        if self.lowers and _PLAIN.fullmatch(piece):
-            return self.plain_words(piece.decode().lower())
+        if self.lowers:
+            if piece.isalpha():  # of ASCII
+                return [piece.decode().lower()]
+            if _PLAIN.fullmatch(piece):
+                words = self.plain_words(piece.decode().lower())
+                return words if piece.isascii() else [w.encode().decode("latin-1").translate(_SHOWN) for w in words]
         return [w for w, _ in self.pre_tokenize(self.normalize(piece.decode("utf-8", "replace")))]
 
     def word(self, word: str) -> bytes:
@@ -146,16 +154,16 @@ class Bpe:
 class _Memory(dict):
     """Remembers what ``make`` gave for the commoner keys."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         ids = self.older.get(key)
         if ids is None:
             ids = self.make(key)
         if len(key) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = ids

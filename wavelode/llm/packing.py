@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bpe, common
 
+#: Dimensions of the curve, bits of each, and hash buckets (the top 8 bits of a product).
 DIMS, BITS, BUCKETS = 4, 12, 256
 _SIGNS = np.random.Generator(np.random.PCG64(20)).integers(0, 2, (BUCKETS, DIMS)) * 2 - 1
 
@@ -57,8 +58,8 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def curve_points(ids: np.ndarray) -> np.ndarray:
     """A document's quantised projection; integer sums, so the same everywhere."""
-    hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(12)) & np.uint64(BUCKETS - 1)
-    sums = np.bincount(hashed.astype(np.int64), minlength=BUCKETS) @ _SIGNS
+    hashed = ids.astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(24)
+    sums = np.bincount(hashed, minlength=BUCKETS) @ _SIGNS
     half = 1 << (BITS - 1)
     return np.clip(half + sums * (2 * half) // max(1, len(ids)), 0, 2 * half - 1)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, ngram_join, packing, sharding, toxicity
+from . import avi_mjpeg, bpe, feistel, licenses, ngram_join, packing, sharding, toxicity
 from .common import table
 
 
@@ -24,11 +24,29 @@ def op4_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi_mjpeg.text_media(table(spark, sf_dir, "documents"))
+
+
+def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op7_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.by_bytes(table(spark, sf_dir, "documents"), shards=40, overhead=16)
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+#: The queries' key; a deployment passes its own to the operator.
+KEY = b"wavelode-query-key"
+
+
+def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = feistel.pseudonymize(docs, KEY, spans_col="spans")
+    return out.select("doc_id", "text", F.size("spans").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",").alias("kinds"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -47,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_digests": licenses.scan_sql()}
