@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import avi_mjpeg, bpe, feistel, licenses, ngram_join, packing, sharding, toxicity
+from . import avi_mjpeg, bpe, feistel, licenses, ngram_join, packing, sharding, topk_search, toxicity
 from .common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), length=4096, end_id=2, keep_ids=False)
 
@@ -65,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_digests": licenses.scan_sql()}
+    return {"op1_threshold_topk": topk_search.search_sql(50, 5, 256), "op6_license_digests": licenses.scan_sql()}
