@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import avi_mjpeg, bpe, feistel, licenses, ngram_join, packing, sharding, topk_search, toxicity
+from . import avi_mjpeg, bpe, feistel, licenses, ngram_join, packing, sharding, topk_search, toxicity, warc
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"), least=1000).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), length=4096, end_id=2, keep_ids=False)
 
@@ -69,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_threshold_topk": topk_search.search_sql(50, 5, 256), "op6_license_digests": licenses.scan_sql()}
+    return {"op1_threshold_topk": topk_search.search_sql(50, 5, 256), "op2_warc_index": warc.archive_sql(1000), "op6_license_digests": licenses.scan_sql()}
