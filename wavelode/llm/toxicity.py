@@ -25,13 +25,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from xxhash import xxh3_64_intdigest
 
 from . import common
 
 #: Labelled rows that a fit reads at most, by hash order of their ids: label 1 and label 0 each.
 SAMPLE_ROWS = 6000
-#: Terms in the lexicon at most.
-TERMS = 4096
+#: Terms that compete for the lexicon at most, and those it holds at most.
+CANDIDATES, TERMS = 2048, 256
+#: A text of label 1 speaks for further terms until so many of those chosen are in it.
+COVER = 6
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 #: Least evidence for a term: the log likelihood ratio of its texts' labels against the sample's shares.
 EVIDENCE = 9.0
@@ -72,16 +75,18 @@ def _letters(word: str) -> int:
 
 
 class Trie:
-    """Terms by letter; a node is ``[children, term at its end or None, stem that ends there or None]``."""
+    """Terms by letter; a node is ``[children, term at its end or None, stem that ends there or None, terms below as bits]``."""
 
     def __init__(self, terms: dict[tuple[str, bool], float]):
-        self.root: list = [{}, None, None]
+        self.root: list = [{}, None, None, 0]
+        whole = [t for t, stem in terms if not stem and len(t) >= 5]
+        bits = {t: 1 << i for i, t in enumerate(whole)}
         for (term, stem), weight in terms.items():
             node = self.root
             for ch in term:
-                node = node[0].setdefault(ch, [{}, None, None])
+                node = node[0].setdefault(ch, [{}, None, None, 0])
+                node[3] |= 0 if stem else bits.get(term, 0)
             node[2 if stem else 1] = (term, weight)
-        whole = [t for t, stem in terms if not stem and len(t) >= 5]
         self.masks = np.array([_letters(t) for t in whole], np.uint64)
         self.sizes = np.array([len(t) for t in whole], np.int64)
         self.edits = np.where(self.sizes >= 8, 2, 1)
@@ -108,8 +113,10 @@ class Trie:
             return ("fuzzy", hit[1], hit[2])
         # an edit changes at most two letters of the set and one of the length: most words end here
         apart = np.bitwise_count(self.masks ^ np.uint64(_letters(plain)))
-        if not ((apart <= 2 * self.edits) & (np.abs(self.sizes - size) <= self.edits)).any():
+        near = np.flatnonzero((apart <= 2 * self.edits) & (np.abs(self.sizes - size) <= self.edits))
+        if not len(near):
             return None
+        wanted = sum(1 << int(i) for i in near)
         most = 2 if size >= 6 else 1
         best: tuple | None = None
         stack = [(self.root, tuple(range(size + 1)), 0)]
@@ -118,6 +125,8 @@ class Trie:
             if depth and node[1] and row[size] <= (2 if depth >= 8 else 1) and depth >= 5 and (best is None or (row[size], node[1][0]) < best[:2]):
                 best = (row[size], node[1][0], node[1][1])
             for ch, child in node[0].items():
+                if not child[3] & wanted:
+                    continue
                 new, least = [row[0] + 1], row[0] + 1
                 for j in range(1, size + 1):
                     d = row[j - 1] if plain[j - 1] == ch else 1 + min(row[j - 1], row[j], new[j - 1])
@@ -171,6 +180,17 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the least hash of three words in a row, which copies share."""
+    for batch in common.slices(batches):
+        keys = []
+        for text in batch.column(0).to_pylist():
+            words = (text or "").lower().split()
+            grams = map(" ".join, zip(words, words[1:], words[2:])) if len(words) > 2 else [" ".join(words)]
+            keys.append(min(map(xxh3_64_intdigest, grams)) >> 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["text", "label", "key"])
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts of each label each term is, summed in the task."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -191,6 +211,51 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def _hold(terms: tuple[tuple[str, bool, float], ...]):
+    """Which of the terms each text holds."""
+    words = {t: i for i, (t, stem, _) in enumerate(terms) if not stem}
+    stems = {t: i for i, (t, stem, _) in enumerate(terms) if stem}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            rows = []
+            for text in batch.column(0).to_pylist():
+                found = set(_WORDS.findall((text or "").lower()))
+                rows.append(sorted({words[w] for w in found if w in words} | {stems[w[:k]] for w in found for k in STEM_LENGTHS if len(w) > k and w[:k] in stems}))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["label", "held"])
+
+    return run
+
+
+def _choose(terms: list[tuple[str, bool, float]], texts: list[tuple[int, list[int]]]) -> tuple[tuple[str, bool, float], ...]:
+    """Greedily the term with the most evidence in the texts of label 1 that the chosen ones do not cover yet.
+
+    Words that only come with others - those of a text that was copied often - thus stay out.
+    """
+    y = np.array([label for label, _ in texts])
+    holds = np.zeros((len(texts), len(terms)), bool)
+    for i, (_, held) in enumerate(texts):
+        holds[i, held] = True
+    ones, zeros = (y == 1).sum(), (y == 0).sum()
+    in_zeros = holds[y == 0].sum(axis=0)
+    in_ones, covered, chosen = holds[y == 1], np.zeros(ones, int), []
+    free = np.ones(len(terms), bool)
+    while len(chosen) < TERMS and len(terms):
+        n1 = in_ones[covered < COVER].sum(axis=0)
+        share = ones / (ones + zeros)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = n1 * np.log(n1 / ((n1 + in_zeros) * share)) + np.where(in_zeros > 0, in_zeros * np.log(in_zeros / ((n1 + in_zeros) * (1 - share))), 0.0)
+            ratio = ((n1 + 0.5) / (ones + 1)) / ((in_zeros + 0.5) / (zeros + 1))
+        gain = np.where(free & (n1 >= 3) & (ratio >= RATIO), gain, -1.0)
+        best = int(np.argmax(gain))
+        if gain[best] < EVIDENCE:
+            break
+        chosen.append(terms[best])
+        free[best] = False
+        covered += in_ones[:, best]
+    return tuple(sorted(chosen))
+
+
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Newton steps."""
     a = np.c_[x, np.ones(len(x))]
@@ -214,7 +279,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [marked.where(F.col("label") == v).orderBy(F.xxhash64(F.col("id")), "id").limit(sample_rows) for v in (0, 1)]
     few = picked[0].union(picked[1])
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = common.stage(source.join(F.broadcast(few), "id").select("text", "label"), "toxic-sample")  # at most 2 * sample_rows ids
+    near = source.join(F.broadcast(few), "id").select("text", "label").mapInArrow(_keyed, "text string, label int, key long")  # at most 2 * sample_rows ids
+    # copies, and most near copies, say no more than one of them; the smallest text stays
+    sample = common.stage(near.groupBy("label", "key").agg(F.min("text").alias("text")).select("text", "label"), "toxic-sample")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
@@ -225,9 +292,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = F.col("ones") + F.col("zeros")
     gain = F.col("ones") * F.log(F.col("ones") / (held * share)) + F.when(F.col("zeros") > 0, F.col("zeros") * F.log(F.col("zeros") / (held * (1 - share)))).otherwise(0.0)
     counted = counted.where("ones >= 3").withColumn("odds", odds).withColumn("gain", gain)
-    top = counted.where((F.col("gain") >= EVIDENCE) & (F.col("odds") >= math.log(RATIO))).orderBy(F.desc("gain"), "stem", "term").limit(TERMS).collect()
-    terms = _prune([(r["term"], r["stem"], float(r["odds"])) for r in top])
-    trie_terms = tuple(terms)
+    top = counted.where((F.col("gain") >= EVIDENCE) & (F.col("odds") >= math.log(RATIO))).orderBy(F.desc("gain"), "stem", "term").limit(CANDIDATES).collect()
+    candidates = _prune([(r["term"], r["stem"], float(r["odds"])) for r in top])
+    held = sample.mapInArrow(_hold(tuple(candidates)), "label int, held array<int>").collect()  # at most 2 * sample_rows short rows
+    trie_terms = _choose(candidates, [(r["label"], r["held"]) for r in held])
     model = Model(trie_terms, (0.0,) * len(FEATURES), 0.0)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +304,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [scan(t, trie)[0] for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
-    got = sample.mapInArrow(features, "x array<double>, label int").orderBy("label", "x").collect()  # at most 2 * sample_rows short rows
+    got = sample.mapInArrow(features, "x array<double>, label int").collect()  # at most 2 * sample_rows short rows
+    got.sort(key=lambda r: (r["label"], r["x"]))  # sums in one order
     x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got], float)
     w, b = _fit(x, y)
     common.unstage(sample)
