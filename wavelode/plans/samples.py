@@ -73,16 +73,17 @@ def q16_regression_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "snr_db", "baseline_db", F.coalesce(F.col("baseline_db") - F.col("snr_db") <= 1.5, F.lit(True)).alias("passed"))
 
 
-_BY_FRAME = Window.partitionBy("vec_id").orderBy("n")
+def _by_frame():
+    return Window.partitionBy("vec_id").orderBy("n")
 
 
 def q17_pre_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = exploded(spark, sf_dir).withColumn("y", 32768 * (F.col("x") - 0.85 * F.lag("x", 1, 0.0).over(_BY_FRAME)))
+    y = exploded(spark, sf_dir).withColumn("y", 32768 * (F.col("x") - 0.85 * F.lag("x", 1, 0.0).over(_by_frame())))
     return y.groupBy("vec_id").agg(F.round(F.max("y"), 6).alias("high"), F.round(F.min("y"), 6).alias("low"))
 
 
 def q18_one_sample_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = exploded(spark, sf_dir).withColumn("y", F.lag("x", 1, 0.0).over(_BY_FRAME))
+    y = exploded(spark, sf_dir).withColumn("y", F.lag("x", 1, 0.0).over(_by_frame()))
     return y.select("vec_id", "n", F.round("y", 9).alias("y"))
 
 
@@ -90,7 +91,7 @@ _TAPS = (0.1, 0.25, 0.3, 0.25, 0.1)
 
 
 def q19_fir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = sum((c * F.lag("x", k, 0.0).over(_BY_FRAME) for k, c in enumerate(_TAPS[1:], 1)), _TAPS[0] * F.col("x"))
+    y = sum((c * F.lag("x", k, 0.0).over(_by_frame()) for k, c in enumerate(_TAPS[1:], 1)), _TAPS[0] * F.col("x"))
     return exploded(spark, sf_dir).withColumn("y", y).groupBy("vec_id").agg(F.round(F.max("y"), 9).alias("high"))
 
 

@@ -14,13 +14,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
 
 
-_BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def _by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 def q33_loss_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per gap, with how many whole periods of ``LOSS_S`` it spans."""
     micros = F.unix_micros(F.col("ts").cast("timestamp_ltz"))
-    y = events(spark, sf_dir).withColumn("gap", micros - F.lag(micros).over(_BY_USER))
+    y = events(spark, sf_dir).withColumn("gap", micros - F.lag(micros).over(_by_user()))
     return y.where(F.col("gap") > LOSS_S * 1_000_000).select("event_id", "user_id", F.floor(F.col("gap") / (LOSS_S * 1_000_000)).alias("n_lost"))
 
 
@@ -36,25 +37,26 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.pmod("doc_id", F.lit(256)).alias("stream"), F.pmod("n_chars", F.lit(256)).cast("int").alias("lacing"))
 
 
-_BY_STREAM = Window.partitionBy("stream").orderBy("doc_id")
+def _by_stream():
+    return Window.partitionBy("stream").orderBy("doc_id")
 
 
 def q35_lacing_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A segment below 255 ends a packet: its number is the count of ends before it."""
-    before = F.coalesce(F.sum((F.col("lacing") < 255).cast("int")).over(_BY_STREAM.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum((F.col("lacing") < 255).cast("int")).over(_by_stream().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     y = _documents(spark, sf_dir).withColumn("packet", before)
     return y.groupBy("stream", "packet").agg(F.sum("lacing").alias("n_bytes"), F.count(F.lit(1)).alias("n_segments"), F.bool_or(F.col("lacing") < 255).alias("complete"))
 
 
 def q36_sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose number does not follow the last one's within the stream; a lacing of 0 is an empty page, which does not count."""
-    y = _documents(spark, sf_dir).where("lacing > 0").withColumn("last_id", F.lag("doc_id").over(_BY_STREAM))
+    y = _documents(spark, sf_dir).where("lacing > 0").withColumn("last_id", F.lag("doc_id").over(_by_stream()))
     return y.where(F.col("doc_id") != F.col("last_id") + 256).select("stream", "doc_id", ((F.col("doc_id") - F.col("last_id")) / 256 - 1).cast("long").alias("n_missing"))
 
 
 def q37_late_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user before the first signup are discarded: a running maximum of the boundary."""
-    joined = F.max((F.col("event_type") == "signup").cast("int")).over(_BY_USER.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = F.max((F.col("event_type") == "signup").cast("int")).over(_by_user().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     y = events(spark, sf_dir).withColumn("joined", joined)
     return y.groupBy("user_id").agg(F.count_if(F.col("joined") == 0).alias("n_discarded"), F.count_if(F.col("joined") == 1).alias("n_kept"))
 
