@@ -8,7 +8,7 @@ distinct ``k``-word shingles, and gives every row the smallest id it reaches by
    Rows of one digest are copies: they share a node, the smallest id among them.
 2. A second scan orders each set from rare to common by the sketch and emits its prefix
    (``n - ceil(t n) + 1`` shingles): similar sets share a shingle there, whatever the order.
-3. Rows are met by shingle.  In a run, sorted by position in the prefix, the first few rows - the
+3. Rows are met by shingle.  In a run, sorted by how many shingles a row shares, the first few rows - the
    ones with the fewest shingles of their own - are pivots; a pivot is paired with the rows after it
    that pass the size and position bounds and are not yet in its component.  Later rounds take
    eight times as many pivots from the runs that still span components, until none is left.  Thus a
@@ -36,18 +36,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from xxhash import xxh3_64_intdigest
+
 from . import common
 
 SKETCH_BITS = 20
 SIGNATURE_BITS = 1024
 CHUNKS = 64
 BLOCK = 256
-FIRST_PIVOTS = 3
+FIRST_PIVOTS = 1
 GROWTH = 8
 #: Pivots of a run that a task holds at once.
 MOST_PIVOTS = 4096
+NUMBERED = "token long, pos int, n int, node long, place int"
 #: Rows up to which a list of node ids (8 bytes each) is broadcast to filter a scan; above, a join filters it.
 BROADCAST_IDS = 100_000
 #: DivideSkip's weight of a probe against a merge step.
@@ -56,19 +60,30 @@ MU = 0.0085
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, forgotten all at once when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cases A-Z alone and splits at ASCII white space, as bytes do."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+#: Bytes of text whose words are told apart at once.
+BLOCK_BYTES = 3_000_000
+
+
+def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of each text's words: A-Z in lower case, split at ASCII white space."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+        block = common.whole_strings(texts.slice(at, upto - at))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(block))
+        coded = lists.flatten().dictionary_encode()
+        unlike = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        hashes = np.fromiter(map(xxh3_64_intdigest, unlike), np.uint64, len(unlike))
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        real = np.fromiter(map(len, unlike), np.int64, len(unlike)).astype(bool)[codes]  # white space at an end leaves empty words
+        if not real.all():
+            cuts, codes = np.r_[0, np.cumsum(real)][cuts], codes[real]
+        words = hashes[codes]
+        for i in range(upto - at):
+            yield words[cuts[i] : cuts[i + 1]]
+        at = upto
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -77,15 +92,15 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(words: list[bytes], k: int, hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes."""
-    if not words:
+def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit shingle hashes of hashed words."""
+    if not len(words):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     width = min(k, len(words))
-    s = np.full(len(h) - width + 1, np.uint64(width), np.uint64)
+    n = len(words) - width + 1
+    s = np.full(n, np.uint64(width), np.uint64)
     for i in range(width):
-        s = _mix(s * _M1 + h[i : len(h) - width + 1 + i])
+        s = _mix(s * _M1 + words[i : n + i])
     return np.unique(s)
 
 
@@ -94,8 +109,8 @@ def signature(grams: np.ndarray) -> bytes:
     return np.packbits(np.bincount((grams & np.uint64(SIGNATURE_BITS - 1)).astype(np.int64), minlength=SIGNATURE_BITS) & 1).tobytes()
 
 
-def sequence_digest(words: list[bytes]) -> tuple[int, int]:
-    d = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+def sequence_digest(words: np.ndarray) -> tuple[int, int]:
+    d = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
@@ -109,7 +124,7 @@ def _arrays(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 def _digest_scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, seen = _WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64), set()
+        counts, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
         shift, pending = np.uint64(64 - SKETCH_BITS), []
         schema = pa.schema([("id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
@@ -119,16 +134,15 @@ def _digest_scan(k: int):
                 pending.clear()
 
         held = 0
-        for batch in common.slices(batches):
-            ids, texts = _columns(batch, "id", "text")
+        for batch in common.slices(batches, 1024):
+            (ids,) = _columns(batch, "id")
             d1, d2, n, sig = [], [], [], []
-            for text in texts:
-                words = words_of(text)
-                if not words:
+            for words in word_hashes(batch.column(1)):
+                if not len(words):
                     d1.append(None), d2.append(None), n.append(0), sig.append(None)
                     continue
                 d = sequence_digest(words)
-                s = shingle_set(words, k, hashes)
+                s = shingle_set(words, k)
                 d1.append(d[0]), d2.append(d[1]), n.append(len(s)), sig.append(signature(s))
                 if d not in seen:
                     if len(seen) > 200_000:
@@ -166,18 +180,17 @@ def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _prefix_scan(k: int, num: int, den: int, levels_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, levels = _WordHashes(), set(), np.frombuffer(levels_of.value, np.uint8)
+        seen, levels = set(), np.frombuffer(levels_of.value, np.uint8)
         shift = np.uint64(64 - SKETCH_BITS)
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, 1024):
             out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for text in _columns(batch, "text")[0]:
-                words = words_of(text)
-                if not words or (d := sequence_digest(words)) in seen:
+            for words in word_hashes(batch.column(0)):
+                if not len(words) or (d := sequence_digest(words)) in seen:
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(d)
-                s = shingle_set(words, k, hashes)
+                s = shingle_set(words, k)
                 n = len(s)
                 p = n - -(-num * n // den) + 1
                 level = levels[s >> shift]
@@ -245,32 +258,32 @@ def _emit_pairs(low: int, high: int, num: int, den: int):
     """Pairs (pivot, later row of the run) for the pivots at places low to high - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, pivots, sent = None, np.empty((0, 4), np.int64), set()
+        held = np.empty((0, 6), np.int64)  # the pivots of the run that the last batch left open
         for batch in batches:
-            rows = np.stack([c.astype(np.int64) for c in _arrays(batch, "token", "place", "n", "pos", "node", "comp")], axis=1) if batch.num_rows else np.empty((0, 6), np.int64)
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.astype(np.int64) for c in _arrays(batch, "token", "place", "n", "pos", "node", "comp")], axis=1)
+            if len(held) and held[0, 0] != rows[0, 0]:
+                held = held[:0]
+            ghosts = len(held)
+            rows = np.concatenate([held, rows])
+            token, place, n, pos, node, comp = rows.T
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            counts = np.diff(np.r_[starts, len(rows)])
+            start, end = np.repeat(starts, counts), np.repeat(starts + counts, counts)
             a, b = [], []
-            starts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]]) if len(rows) else []
-            for s, e in zip(starts, [*starts[1:], len(rows)], strict=True):
-                if rows[s, 0] != token:
-                    token, pivots = rows[s, 0], np.empty((0, 4), np.int64)
-                run = rows[s:e]
-                before = len(pivots)
-                pivots = np.concatenate([pivots, run[(run[:, 1] >= low) & (run[:, 1] < high)][:, 2:]])
-                for at in range(len(pivots)):
-                    pn, ppos, pnode, pcomp = pivots[at]
-                    # pivots of this batch meet only rows after them; earlier ones meet the whole batch
-                    later = run if at < before else run[np.searchsorted(run[:, 1], low + at, side="right") :]
-                    n, pos, comp = later[:, 2], later[:, 3], later[:, 5]
-                    need = -(-num * (n + pn) // (num + den))
-                    ok = (comp != pcomp) & (den * np.minimum(n, pn) >= num * np.maximum(n, pn)) & (1 + np.minimum(n - pos, pn - ppos) - 1 >= need)
-                    for x in later[ok, 4]:
-                        pair = (int(pnode), int(x))
-                        if pair not in sent:
-                            if len(sent) > 300_000:
-                                sent.clear()
-                            sent.add(pair)
-                            a.append(pair[0]), b.append(pair[1])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["p", "x"])
+            for j in range(low, min(high, int(place.max()))):
+                pivot = start + (j - place[start])
+                at = np.flatnonzero((place > j) & (pivot >= start) & (pivot < end))
+                at = at[at >= ghosts]
+                p = pivot[at]
+                need = -(-num * (n[at] + n[p]) // (num + den))
+                ok = (place[p] == j) & (comp[at] != comp[p]) & (den * np.minimum(n[at], n[p]) >= num * np.maximum(n[at], n[p])) & (np.minimum(n[at] - pos[at], n[p] - pos[p]) >= need)
+                a.append(node[p[ok]]), b.append(node[at[ok]])
+            last = rows[starts[-1] :]
+            held = last[(last[:, 1] >= low) & (last[:, 1] < high)]
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.empty((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["p", "x"])
 
     return run
 
@@ -359,7 +372,7 @@ def _search(num: int, den: int):
                 values = np.frombuffer(grams, np.uint64)
                 if x is None:
                     query = values
-                else:
+                elif not ids or ids[-1] != x:  # repeated rows come one after the other
                     ids.append(x), sets.append(values)
             yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in links], pa.int64()), pa.array([v[1] for v in links], pa.int64())], names=["a", "b"])
         links = done()
@@ -370,14 +383,9 @@ def _search(num: int, den: int):
 
 def _set_scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for batch in common.slices(batches):
-            node, text, d1, d2 = _columns(batch, "node", "text", "d1", "d2")
-            out = []
-            for i, t, a, b in zip(node, text, d1, d2, strict=True):
-                words = words_of(t)
-                if words and sequence_digest(words) == (a, b):
-                    out.append((i, shingle_set(words, k, hashes).tobytes()))
+        for batch in common.slices(batches, 1024):
+            node, d1, d2 = _columns(batch, "node", "d1", "d2")
+            out = [(i, shingle_set(words, k).tobytes()) for i, words, a, b in zip(node, word_hashes(batch.column(1)), d1, d2, strict=True) if len(words) and sequence_digest(words) == (a, b)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "grams"])
 
     return run
@@ -402,9 +410,12 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prefixes = source.where("id is not null").select("text").mapInArrow(_prefix_scan(k, num, den, shared), row)
     runs = prefixes.repartition(parts, "token").sortWithinPartitions("token", "d1", "d2").mapInArrow(_shared_only, row)
     runs = common.stage(runs, "ngram-shared")
-    named = runs.join(reps, ["d1", "d2"]).drop("d1", "d2")
-    numbered = common.stage(named.repartition(parts, "token").sortWithinPartitions("token", "pos", "n", "node").mapInArrow(_number_runs, "token long, pos int, n int, node long, place int"), "ngram-runs")
+    named = common.stage(runs.join(reps, ["d1", "d2"]).drop("d1", "d2"), "ngram-named")
     common.unstage(runs)
+    shared_by = named.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    central = named.join(shared_by, "node")
+    numbered = common.stage(central.repartition(parts, "token").sortWithinPartitions("token", F.desc("shared"), "node").select("token", "pos", "n", "node").mapInArrow(_number_runs, NUMBERED), "ngram-runs")
+    common.unstage(named)
     longest = numbered.agg(F.max("place")).first()[0]
     nodes = reps.select("node", "d1", "d2")
 
@@ -429,7 +440,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         needed = common.stage(needed, "ngram-needed")
         if n_needed := needed.count():
             right = F.broadcast(needed) if n_needed <= BROADCAST_IDS else needed
-            sets = source.join(right, source["id"] == right["node"]).select("node", "text", "d1", "d2").mapInArrow(_set_scan(k), "node long, grams binary").dropDuplicates(["node"])
+            sets = source.join(right, source["id"] == right["node"]).select("node", "text", "d1", "d2").mapInArrow(_set_scan(k), "node long, grams binary")
             sets = common.stage(sets, "ngram-sets")
             blocks = pairs.join(per_pivot.select("p", "blocks"), "p").select("p", "x", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"))
             members = blocks.join(sets.withColumnRenamed("node", "x"), "x").select("p", "block", "x", "grams")
