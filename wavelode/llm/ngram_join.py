@@ -126,7 +126,7 @@ def _digest_scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.int64), set()
         shift, pending = np.uint64(64 - SKETCH_BITS), []
-        schema = pa.schema([("id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
         def flush() -> None:
             if pending:
@@ -154,12 +154,12 @@ def _digest_scan(k: int):
                         flush()
                         held = 0
             none = pa.nulls(len(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), none, pa.nulls(len(ids), pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(2), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), none, pa.nulls(len(ids), pa.binary())], schema=schema)
         flush()
         size = len(counts) // CHUNKS
         rows = [(c, zlib.compress(part.astype("<u4").tobytes(), 1)) for c in range(CHUNKS) if (part := counts[c * size : (c + 1) * size]).any()]
         empty = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
     return run
 
@@ -396,8 +396,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    both = common.stage(source.mapInArrow(_digest_scan(k), "id long, d1 long, d2 long, n int, sig binary, chunk int, counts binary"), "ngram-rows")
-    rows = both.where("n is not null").select("id", "d1", "d2", "n", "sig")
+    hashed = source.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    both = common.stage(hashed.mapInArrow(_digest_scan(k), "id long, th long, d1 long, d2 long, n int, sig binary, chunk int, counts binary"), "ngram-rows")
+    rows = both.where("n is not null").select("id", "th", "d1", "d2", "n", "sig")
     sketch = both.where("chunk is not null").select("chunk", "counts").repartition(min(CHUNKS, parts), "chunk").mapInArrow(_add_sketches, "chunk int, levels binary").collect()  # 2**20 bytes
     size = (1 << SKETCH_BITS) // CHUNKS
     levels = bytearray(1 << SKETCH_BITS)
@@ -457,15 +458,20 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows, reps, links, comps
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``(id, n_shingles long, component_id)`` for every row."""
+def _with_components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """``id, th, n, component_id`` for every row; ``th`` is a hash of the text."""
     rows, reps, links, comps = similar_links(docs, id_col, text_col, k, num, den)
     if comps is not None:
         reps = reps.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("node", F.coalesce("comp", "node"))
     classes = reps.select("d1", "d2", "node")
-    linked = rows.where("d1 is not null and id is not null").join(classes, ["d1", "d2"]).select(F.col("id"), "n", F.col("node").alias("component_id"))
-    alone = rows.where("d1 is null or id is null").select("id", "n", F.col("id").alias("component_id"))
-    return linked.union(alone).select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+    linked = rows.where("d1 is not null and id is not null").join(classes, ["d1", "d2"]).select("id", "th", "n", F.col("node").alias("component_id"))
+    return linked.union(rows.where("d1 is null or id is null").select("id", "th", "n", F.col("id").alias("component_id")))
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``(id, n_shingles long, component_id)`` for every row."""
+    out = _with_components(docs, id_col, text_col, k, num, den)
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -474,11 +480,13 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows of the empty set or of a null id are all kept: they resemble nothing.  Of rows that repeat
     both id and text one stays; the rows are only met for that where some id repeats.
     """
-    comp = similar_components(docs, id_col, text_col, k, num, den)
-    loser = comp.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(loser, id_col, "left_anti")
-    if comp.where(f"n_shingles > 0 and {id_col} is not null").groupBy(id_col).count().where("count > 1").head(1):
-        words = F.col("n_words_digest")
-        kept = kept.withColumn("n_words_digest", F.when(F.col(id_col).isNotNull() & (F.length(F.trim(text_col)) > 0), F.sha2(text_col, 256)).otherwise(F.uuid()))
-        kept = kept.dropDuplicates([id_col, "n_words_digest"]).drop(words)
-    return kept
+    comp = common.stage(_with_components(docs, id_col, text_col, k, num, den), "ngram-components")
+    names = {c.lower() for c in docs.columns}
+    key, text_key = next(f"row_id{i}" for i in range(len(names) + 1) if f"row_id{i}" not in names), next(f"row_text{i}" for i in range(len(names) + 1) if f"row_text{i}" not in names)
+    rows = docs.withColumns({key: F.col(id_col).cast("long"), text_key: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    loser = comp.where("component_id < id").select(F.col("id").alias(key), F.col("th").alias(text_key)).distinct()
+    kept = rows.join(loser, [key, text_key], "left_anti")
+    if comp.where("n > 0 and id is not null").groupBy("id").count().where("count > 1").head(1):
+        again = comp.where("n > 0 and id is not null").groupBy("id", "th").count().where("count > 1").select(F.col("id").alias(key), F.col("th").alias(text_key))
+        kept = kept.join(again, [key, text_key], "left_anti").unionByName(kept.join(again, [key, text_key], "left_semi").dropDuplicates([key, text_key]))
+    return kept.select(docs.columns)
