@@ -334,7 +334,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     schema = T.StructType(base.schema.fields[:])
     schema = schema.add(score_col, "double")
     if finds_col:
-        schema = schema.add(finds_col, T.ArrayType(T.StructType().add("start", "int").add("end", "int").add("kind", "string").add("term", "string").add("quoted", "boolean")))
+        schema = schema.add(finds_col, T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("kind", "string").add("term", "string").add("quoted", "boolean")))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("term", pa.string()), ("quoted", pa.bool_())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
 
