@@ -9,8 +9,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import framing
 from ..functions.crc import ogg_crc
-from ..operators import conceal, mdct, pvq, soft_clip
+from ..operators import conceal, mdct, pvq, side_info, soft_clip
 from ..operators.range_coder import Decoder, Encoder
 from ..session import ship
 from ..sources import ogg
@@ -103,6 +104,11 @@ def q46_ogg_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("error IS NULL").select((F.col("path").cast("long") * 64 + F.col("packet_pos")).alias("doc_id"), F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1"))
 
 
+def q47_celt_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first symbols of every CELT frame, taken from the valid packets."""
+    return side_info.with_celt_headers(framing.frames(framing.parse(packets(spark, sf_dir))))
+
+
 _W = f"CAST([{', '.join(repr(float(v)) for v in mdct.window(32))}] AS DOUBLE[])"
 ORACLE = {
     "q43_mdct": f"WITH f AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, {_W} AS w FROM embeddings WHERE len(embedding) = 64) SELECT vec_id, CAST(k AS INTEGER) AS k, round(list_sum(list_transform(range(1, 65), lambda t: x[t] * w[t] * cos(pi() / 32 * (t - 1 + 0.5 + 16) * (k + 0.5)))), 6) AS coefficient FROM f, range(0, 32) r(k)",
