@@ -60,3 +60,14 @@ def test_data_source(spark, tmp_path):
     a = spark.read.format("ogg").load(str(tmp_path))
     b = ogg.read_pages(spark, str(tmp_path))
     assert a.drop("path").collect() == b.drop("path").collect()
+
+
+def test_head_columns(spark):
+    made = [ogg.build_head(2, 312, 44100, -256), ogg.build_head(6, family=1, mapping=bytes([4, 2, 0, 4, 1, 2, 3, 5])), ogg.build_head(1, family=3, mapping=bytes([1, 0, 0xFF, 0xFF])), ogg.build_head() + b"x", ogg.build_head(2, family=1, mapping=b"\1"), b"OpusTags", b"OpusHead\1"]
+    rows = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(made)], "i int, payload binary")
+    out = {r.i: r for r in ogg.heads(rows).collect()}
+    assert sorted(out) == [0, 1, 2, 3, 4, 6]
+    for i in range(3):
+        want = ogg.parse_head(made[i])
+        assert all(out[i][k] == v for k, v in want.items()) and out[i].error is None
+    assert out[3].error and out[4].error and out[6].error

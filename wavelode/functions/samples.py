@@ -101,3 +101,27 @@ def lcg(seed: Column, steps: Column, a: int = 196314165, c: int = 907633515) ->
 def snr_db(signal: Column, noise: Column, count: Column) -> Column:
     """10 log10 of the energies' ratio; 100 without noise, 0 without samples."""
     return F.when(count == 0, 0.0).when(noise == 0, 100.0).otherwise(10 * F.log10(signal / noise))
+
+
+def to_channels(frame: Column, channels: int, wanted: int) -> Column:
+    """Interleaved samples for another number of channels: a copy to two, the mean to one."""
+    if channels == wanted:
+        return frame
+    return mono_to_stereo(frame) if wanted == 2 else stereo_to_mono(frame)
+
+
+def add_layers(speech: Column, music: Column) -> Column:
+    """The two layers of a hybrid frame: speech goes through 16 bits first, then both add up sample by sample."""
+    return F.zip_with(speech, music, lambda a, b: from_s16(to_s16(a)) + b)
+
+
+def overlay(frame: Column, piece: Column, start: int) -> Column:
+    """``piece`` in place of the samples from ``start`` on, as far as both reach."""
+    end = F.lit(start) + F.size(piece)
+    return F.transform(frame, lambda x, i: F.when((i >= start) & (i < end), F.get(piece, i - start)).otherwise(x))
+
+
+def fade_in(frame: Column, piece: Column, start: int, n: int) -> Column:
+    """From ``piece`` to ``frame`` over ``n`` samples from ``start`` on, in the squared window; the frame elsewhere."""
+    w = F.array(*(F.lit(v) for v in fade_window(n)))
+    return F.transform(frame, lambda x, i: F.when((i >= start) & (i < start + n), F.get(piece, i - start) * (1.0 - F.get(w, i - start)) + x * F.get(w, i - start)).otherwise(x))

@@ -188,10 +188,28 @@ def q38_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("vec_id", fold["n"].alias("n_open"), fold["on"].alias("open_at_end"))
 
 
+def q48_hybrid_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame as speech under the next one of its stream as music."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    y = frames(spark, sf_dir).withColumn("after", F.lead("x").over(w)).where("after IS NOT NULL")
+    both = s.add_layers(F.col("x"), F.col("after"))
+    return y.select("vec_id", F.round(s.total(both), 9).alias("layer_sum"), F.round(F.array_max(both), 9).alias("high"))
+
+
+def q49_redundancy_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 8 samples replaced and the next 8 faded by those of the stream's frame before: a mode's transition."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    y = frames(spark, sf_dir).withColumn("before", F.lag("x").over(w)).where("before IS NOT NULL")
+    start = s.overlay(F.col("x"), F.slice("before", 1, 8), 0)
+    out = s.fade_in(start, F.slice("before", 9, 8), 8, 8)
+    return y.select("vec_id", F.round(s.total(out), 9).alias("total"))
+
+
 _F = "f AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL)"
 _E = f"{_F}, e AS (SELECT vec_id, label, unnest(range(len(x))) AS n, unnest(x) AS x FROM f)"
 _DOT = "list_sum(list_transform(range(1, len(x) - {k} + 1), lambda i: x[i] * x[i + {k}]))"
 _W64 = "[" + ", ".join(repr(v) for v in s.fade_window(64)) + "]"
+_W8 = "[" + ", ".join(repr(v) for v in s.fade_window(8)) + "]"
 _G = "g AS (SELECT CAST(r * 1000 AS INTEGER) AS bitrate, c AS channels FROM range(6, 511) t(r), (VALUES (1), (2)) v(c))"
 
 ORACLE = {
@@ -218,5 +236,7 @@ ORACLE = {
     "q30_cross_fade": f"WITH {_F}, y AS (SELECT vec_id, x, lead(x) OVER (PARTITION BY label ORDER BY vec_id) AS b, CAST({_W64} AS DOUBLE[]) AS w FROM f) SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: x[i] * (1 - w[i]) + b[i] * w[i])), 9) AS faded_sum FROM y WHERE b IS NOT NULL",
     "q31_stereo_width": f"WITH {_G}, q AS (SELECT *, ((bitrate - bitrate // 12) * 95) // 100 AS equivalent FROM g) SELECT bitrate, channels, CAST(equivalent AS BIGINT) AS equivalent, CAST(CASE WHEN equivalent > 32000 THEN 16384 WHEN equivalent < 16000 THEN 0 ELSE 16384 - (2048 * (32000 - equivalent)) // (equivalent - 14000) END AS BIGINT) AS width_q14 FROM q",
     "q32_bandwidth_choice": f"WITH {_G} SELECT bitrate, channels, CASE WHEN bitrate // channels < 9000 THEN 'Narrowband' WHEN bitrate // channels < 13500 THEN 'Wideband' WHEN bitrate // channels < 14000 THEN 'Superwideband' ELSE 'Fullband' END AS bandwidth, CAST(bitrate // 400 - 1 AS BIGINT) AS frame_bytes FROM g",
+    "q48_hybrid_layers": f"WITH {_F}, y AS (SELECT vec_id, x, lead(x) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM f), z AS (SELECT vec_id, list_transform(range(1, 65), lambda i: least(greatest(round(x[i] * 32768), -32768), 32767) / 32768 + b[i]) AS z FROM y WHERE b IS NOT NULL) SELECT vec_id, round(list_sum(z), 9) AS layer_sum, round(list_max(z), 9) AS high FROM z",
+    "q49_redundancy_overlay": f"WITH {_F}, y AS (SELECT vec_id, x, lag(x) OVER (PARTITION BY label ORDER BY vec_id) AS b, CAST({_W8} AS DOUBLE[]) AS w FROM f) SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN i <= 8 THEN b[i] WHEN i <= 16 THEN b[i] * (1 - w[i - 8]) + x[i] * w[i - 8] ELSE x[i] END)), 9) AS total FROM y WHERE b IS NOT NULL",
     "q38_hysteresis": f"WITH RECURSIVE {_F}, w AS (SELECT vec_id, x, 0 AS i, 0 AS o, 0 AS n FROM f UNION ALL SELECT vec_id, x, i + 1, CASE WHEN x[i + 1] > 0.1 THEN 1 WHEN x[i + 1] < -0.1 THEN 0 ELSE o END, n + CASE WHEN x[i + 1] > 0.1 THEN 1 WHEN x[i + 1] < -0.1 THEN 0 ELSE o END FROM w WHERE i < len(x)) SELECT vec_id, CAST(n AS INTEGER) AS n_open, CAST(o AS INTEGER) AS open_at_end FROM w WHERE i = len(x)",
 }

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.crc import ogg_crc
+from ..functions.toc import byte_at
 
 PAGE_SCHEMA = "path string, page_pos long, granule long, header_type int, serial long, page_index long, lacing array<int>, segments array<binary>, crc_ok boolean, error string"
 _ARROW = pa.schema([("path", pa.string()), ("page_pos", pa.int64()), ("granule", pa.int64()), ("header_type", pa.int32()), ("serial", pa.int64()), ("page_index", pa.int64()), ("lacing", pa.list_(pa.int32())), ("segments", pa.list_(pa.binary())), ("crc_ok", pa.bool_()), ("error", pa.string())])
@@ -203,3 +204,34 @@ def packets(pages: DataFrame) -> DataFrame:
     out = whole.select("path", "serial", "ends_before", "gaps", F.col("page.page_index").alias("page_index"), F.col("page.granule").alias("granule"), F.when(F.col("ended"), F.reduce("parts", F.lit(b""), lambda a, x: F.concat(a, x["data"]))).alias("payload"), error.alias("error"))
     number = Window.partitionBy("path", "serial").orderBy("ends_before", "gaps")
     return out.withColumn("packet_pos", F.row_number().over(number) - 1).select("path", "serial", "packet_pos", "page_index", "granule", "payload", "error")
+
+
+def heads(table: DataFrame, payload: str = "payload") -> DataFrame:
+    """Identification headers as columns, from packets (or segments) that begin with the signature.
+
+    ``error`` is null for a header whose channel map has the length that its family asks for.
+    """
+    p = F.col(payload)
+    byte = lambda i: byte_at(p, i)
+    rows = table.where(F.substring(payload, 1, 8) == F.lit(b"OpusHead"))
+    n, family, inputs = F.octet_length(payload), byte(18), byte(19) + byte(20)
+    gain = byte(16) + 256 * byte(17)
+    out = rows.withColumns({
+        "version": byte(8),
+        "channels": byte(9),
+        "pre_skip": byte(10) + 256 * byte(11),
+        "sample_rate": (byte(12) + 256 * byte(13) + 65536 * byte(14)).cast("long") + F.lit(2**24) * byte(15),
+        "output_gain": F.when(gain >= 32768, gain - 65536).otherwise(gain),
+        "channel_map": family,
+        "stream_count": F.when(family != 0, byte(19)),
+        "coupled_count": F.when(family != 0, byte(20)),
+    })
+    mapped = family.isin(1, 2, 255)
+    wanted = F.when(family == 0, 19).when(mapped, 21 + F.col("channels")).when(family == 3, 21 + 2 * F.col("channels") * inputs).otherwise(n)
+    out = out.withColumn("error", F.when(n < 19, "short header").when(~F.coalesce(n == wanted, F.lit(False)), "the channel map's length is wrong"))
+    places = F.sequence(F.lit(0), F.col("channels") - 1)
+    good = F.col("error").isNull()
+    out = out.withColumn("mapping", F.when(good & mapped, F.transform(places, lambda i: byte_at(p, i + 21))))
+    cell = lambda i: byte_at(p, 2 * i + 21) + 256 * byte_at(p, 2 * i + 22)
+    cells = F.sequence(F.lit(0), F.greatest(F.col("channels") * inputs - 1, F.lit(0)))
+    return out.withColumn("demix", F.when(good & (family == 3), F.transform(cells, lambda i: F.when(cell(i) >= 32768, cell(i) - 65536).otherwise(cell(i)))))
