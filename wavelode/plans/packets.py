@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import framing, toc
+from ..functions import framing, speech, toc
 from ..session import ship
 
 
@@ -64,6 +64,22 @@ def q09_packet_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "packet_ns", (F.col("packet_ns") > framing.LONGEST_NS).alias("too_long"))
 
 
+def q50_speech_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's length as gain indices of four subframes, after an index of 30."""
+    n = F.col("n_chars").cast("int")
+    deltas = F.array(*(F.pmod(F.floor(n / k).cast("int"), F.lit(41)) for k in (64, 7, 11)))
+    rows = ship(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", speech.log_gains(F.pmod(n, F.lit(64)), deltas, F.lit(30)).alias("g"))
+    return rows.select("doc_id", *(F.get("g", F.lit(i)).alias(f"g{i}") for i in range(4)), speech.gain_q16(F.get("g", F.lit(3))).alias("gain_q16"))
+
+
+def q51_pitch_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speech packets' third byte as an absolute lag, their fourth as a relative one."""
+    out = toc.with_config(packets(spark, sf_dir)).where("mode = 'Silk-only'")
+    a, b = toc.byte_at(F.col("payload"), 2), toc.byte_at(F.col("payload"), 3)
+    lag = speech.absolute_lag(F.col("bandwidth"), F.shiftright(a, 3), a.bitwiseAND(3))
+    return out.select("doc_id", lag.alias("lag"), speech.relative_lag(lag, F.pmod(b, F.lit(20))).alias("next_lag"))
+
+
 _DIM = ", ".join(str((c, *toc.configuration(c))) for c in range(32))
 _BASE = f"""p AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
 t AS (SELECT *, CASE WHEN n > 0 THEN CAST('0x' || substr(h, 1, 2) AS INTEGER) END AS toc FROM p),
@@ -102,5 +118,12 @@ ORACLE = {
     "q06_code3_header": f"WITH RECURSIVE {_PARSED} SELECT doc_id, CAST(n_frames AS INTEGER) AS n_frames, is_vbr, has_padding FROM r WHERE frame_code = 3",
     "q07_padding_fold": "SELECT doc_id, CAST(n_chars % 7 + 1 + CASE WHEN n_chars % 255 = 255 THEN 1 ELSE 0 END AS INTEGER) AS used, CAST(254 * (n_chars % 7) + n_chars % 255 AS INTEGER) AS padding_bytes FROM documents",
     "q08_frame_bytes": f"WITH RECURSIVE {_PARSED} SELECT frame_code, CAST(sum(n) AS BIGINT) AS packet_bytes, CAST(sum(list_sum(lengths)) AS BIGINT) AS frame_bytes FROM r WHERE error IS NULL GROUP BY 1",
+    "q50_speech_gains": """WITH n AS (SELECT doc_id, CAST(greatest(n_chars % 64, 30 - 16) AS INTEGER) AS g0, (n_chars // 64) % 41 AS d1, (n_chars // 7) % 41 AS d2, (n_chars // 11) % 41 AS d3 FROM documents),
+a AS (SELECT *, CAST(least(greatest(2 * d1 - 16, g0 + d1 - 4, 0), 63) AS INTEGER) AS g1 FROM n), b AS (SELECT *, CAST(least(greatest(2 * d2 - 16, g1 + d2 - 4, 0), 63) AS INTEGER) AS g2 FROM a),
+c AS (SELECT *, CAST(least(greatest(2 * d3 - 16, g2 + d3 - 4, 0), 63) AS INTEGER) AS g3 FROM b), l AS (SELECT *, ((CAST(g3 AS BIGINT) * 1907825) >> 16) + 2090 AS x FROM c),
+k AS (SELECT *, CAST(1 AS BIGINT) << (x >> 7) AS one, x & 127 AS f FROM l)
+SELECT doc_id, g0, g1, g2, g3, CASE WHEN x >= 3967 THEN 2147483647 ELSE one + (one >> 7) * (f + CAST(floor(f * (128 - f) * -174 / 65536) AS BIGINT)) END AS gain_q16 FROM k""",
+    "q51_pitch_lags": f"""WITH {_BASE}, b AS (SELECT doc_id, bandwidth, try_cast('0x' || nullif(substr(h, 5, 2), '') AS INTEGER) AS a, try_cast('0x' || nullif(substr(h, 7, 2), '') AS INTEGER) AS c FROM v WHERE mode = 'Silk-only'),
+l AS (SELECT *, CASE bandwidth WHEN 'Narrowband' THEN 16 + 4 * (a >> 3) WHEN 'Mediumband' THEN 24 + 6 * (a >> 3) ELSE 32 + 8 * (a >> 3) END + (a & 3) AS lag FROM b) SELECT doc_id, CAST(lag AS INTEGER) AS lag, CAST(lag + c % 20 - 9 AS INTEGER) AS next_lag FROM l""",
     "q09_packet_duration": f"WITH RECURSIVE {_PARSED} SELECT doc_id, CAST(n_frames * CAST(frame_ns AS BIGINT) AS BIGINT) AS packet_ns, n_frames * CAST(frame_ns AS BIGINT) > 120000000 AS too_long FROM r",
 }
