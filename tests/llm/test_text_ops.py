@@ -217,6 +217,9 @@ def test_pseudonyms_keep_their_format():
         if kind == "card":
             digits = lambda s: "".join(filter(str.isdigit, s))
             assert feistel.luhn(digits(old)) == feistel.luhn(digits(now))
+    for one in ("10.1.2.3", "192.168.0.1", "+49 30 1234567", "+442071234567", "+33 (0)1 23 45 67 89"):
+        now, found = feistel.pseudonymize_text(f"x {one}, y", b"key")
+        assert len(found) == 1 and one not in now and feistel.pseudonymize_text(now, b"key", undo=True)[0] == f"x {one}, y"
     plain = "no 1.2.3 v1.2.3.4.5 2024-13-45 000-12-3456 12345 999.1.1.1 of 3"
     assert feistel.pseudonymize_text(plain, b"key") == (plain, [])
 

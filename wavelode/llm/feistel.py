@@ -2,11 +2,10 @@
 
 Each kind of value has a pattern, a validity check and a format: a mixed-radix domain that a Feistel
 network with keyed BLAKE2 rounds permutes.  The result has the same format and passes the same check
-(card check digit, date in the calendar, address outside the reserved blocks), and equal values get
+(card check digit, date in the calendar, address in its block), and equal values get
 equal pseudonyms in every document, so links stay.  The permutation can be undone with the key.
 
-Kinds: e-mail addresses (letters and digits of the local part permute, the domain moves to
-``example.com`` names), North American phone numbers, payment cards (Luhn), 16-digit numbers that
+Kinds: e-mail addresses (letters and digits permute, the top-level domain stays), North American and other international phone numbers, payment cards (Luhn), 16-digit numbers that
 fail it, social security numbers, IBANs (mod 97), IPv4 addresses, ISO and slash dates, and secrets
 (``AKIA`` keys, hexadecimal tokens after ``token``/``password``/``secret``/``key``).
 
@@ -158,12 +157,23 @@ def iban(text: str, key: bytes, undo: bool) -> str | None:
 
 def ipv4(text: str, key: bytes, undo: bool) -> str | None:
     parts = [int(p) for p in text.split(".")]
-    if max(parts) > 255 or not 1 <= parts[0] <= 223 or parts[0] in (10, 127):
+    if max(parts) > 255:
         return None
     first = [x for x in range(1, 224) if x not in (10, 127)]
-    value = ((first.index(parts[0]) * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3]
-    value = permute(value, len(first) << 24, key, b"ipv4", undo)
-    return f"{first[value >> 24]}.{value >> 16 & 255}.{value >> 8 & 255}.{value & 255}"
+    low = (parts[1] * 256 + parts[2]) * 256 + parts[3]
+    if parts[0] in first:
+        value = permute(first.index(parts[0]) << 24 | low, len(first) << 24, key, b"ipv4", undo)
+        head = first[value >> 24]
+    else:  # a reserved block stays that block
+        head = parts[0]
+        value = permute(low, 1 << 24, key, b"ipv4-%d" % head, undo)
+    return f"{head}.{value >> 16 & 255}.{value >> 8 & 255}.{value & 255}"
+
+
+def world_phone(text: str, key: bytes, undo: bool) -> str | None:
+    """The country's first two digits stay."""
+    at = [i for i, ch in enumerate(text) if ch.isdigit()][2]
+    return text[:at] + _symbols(text[at:], key, b"world" + text[:at].encode(), undo, (DIGITS,))
 
 
 #: Dates permute among the days of these years.
@@ -228,6 +238,7 @@ KINDS: tuple[Kind, ...] = (
     ("date", r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})(?![\d/-])", iso_date),
     ("date", r"(?<![\d/.-])(?:\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])", day_first_date),
     ("phone", r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)", phone),
+    ("phone", r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{1,5}\)?){2,6}(?![\w])", world_phone),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     ("ipv4", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)", ipv4),
     ("card", r"(?<![\w-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\w-])", card),
