@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import framing, speech, toc
+from ..functions import bands, framing, speech, toc
 from ..session import ship
 
 
@@ -80,6 +80,15 @@ def q51_pitch_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lag.alias("lag"), speech.relative_lag(lag, F.pmod(b, F.lit(20))).alias("next_lag"))
 
 
+def q52_coded_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands and bins that each packet's frames code."""
+    out = toc.with_config(packets(spark, sf_dir))
+    start, end = bands.coded_bands(F.col("mode"), F.col("bandwidth"))
+    out = out.select("doc_id", start.alias("start"), end.alias("stop"), F.when(start.isNotNull(), F.round(F.log2(F.col("frame_ns") / 2500000)).cast("int")).alias("size_log")).where("start IS NOT NULL")
+    met = out.join(F.broadcast(bands.band_table(spark)), "size_log").where("band >= start AND band < stop")
+    return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_bands"), F.sum("width").alias("n_bins"), F.max("high").alias("last_bin"))
+
+
 _DIM = ", ".join(str((c, *toc.configuration(c))) for c in range(32))
 _BASE = f"""p AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
 t AS (SELECT *, CASE WHEN n > 0 THEN CAST('0x' || substr(h, 1, 2) AS INTEGER) END AS toc FROM p),
@@ -125,5 +134,8 @@ k AS (SELECT *, CAST(1 AS BIGINT) << (x >> 7) AS one, x & 127 AS f FROM l)
 SELECT doc_id, g0, g1, g2, g3, CASE WHEN x >= 3967 THEN 2147483647 ELSE one + (one >> 7) * (f + CAST(floor(f * (128 - f) * -174 / 65536) AS BIGINT)) END AS gain_q16 FROM k""",
     "q51_pitch_lags": f"""WITH {_BASE}, b AS (SELECT doc_id, bandwidth, try_cast('0x' || nullif(substr(h, 5, 2), '') AS INTEGER) AS a, try_cast('0x' || nullif(substr(h, 7, 2), '') AS INTEGER) AS c FROM v WHERE mode = 'Silk-only'),
 l AS (SELECT *, CASE bandwidth WHEN 'Narrowband' THEN 16 + 4 * (a >> 3) WHEN 'Mediumband' THEN 24 + 6 * (a >> 3) ELSE 32 + 8 * (a >> 3) END + (a & 3) AS lag FROM b) SELECT doc_id, CAST(lag AS INTEGER) AS lag, CAST(lag + c % 20 - 9 AS INTEGER) AS next_lag FROM l""",
+    "q52_coded_bins": f"""WITH {_BASE}, e(band, low, high) AS (VALUES {', '.join(str((i, a, z)) for i, (a, z) in enumerate(zip(bands.EDGES, bands.EDGES[1:], strict=False)))}),
+c AS (SELECT doc_id, CAST(frame_ns // 2500000 AS INTEGER) AS scale, CASE WHEN mode = 'Hybrid' THEN 17 ELSE 0 END AS a, CASE bandwidth WHEN 'Narrowband' THEN 13 WHEN 'Wideband' THEN 17 WHEN 'Superwideband' THEN 19 ELSE 21 END AS z FROM v WHERE mode <> 'Silk-only')
+SELECT doc_id, count(*) AS n_bands, CAST(sum((high - low) * scale) AS BIGINT) AS n_bins, max(high * scale) AS last_bin FROM c JOIN e ON band >= a AND band < z GROUP BY 1""",
     "q09_packet_duration": f"WITH RECURSIVE {_PARSED} SELECT doc_id, CAST(n_frames * CAST(frame_ns AS BIGINT) AS BIGINT) AS packet_ns, n_frames * CAST(frame_ns AS BIGINT) > 120000000 AS too_long FROM r",
 }

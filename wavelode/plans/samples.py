@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import samples as s
+from ..functions.bands import EDGES
 from ..session import ship
 
-# Edges of the 21 bands of the short frame, in bins.
-EDGES = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 28, 34, 40, 48, 60, 78, 100)
-
-
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding IS NOT NULL")
     return rows.select("vec_id", "label", s.doubles(F.col("embedding")).alias("x"))
