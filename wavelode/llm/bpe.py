@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-#: Pieces remembered in each of two generations, and four times as many as words; the older one goes when the younger is full.
-REMEMBERED = 280_000
+#: Pieces remembered in each of two generations, and eight times as many as words; the older one goes when the younger is full.
+REMEMBERED = 400_000
 #: Bytes of text whose pieces are told apart at once.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 
 #: Printable ASCII and the letters U+00C0 to U+00FF: no normal form changes them, and their classes are plain.
 _PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -69,11 +69,17 @@ class Bpe:
         tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.token_bytes = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
         self.inside = {t[i : i + 2] for w in self.vocab for t in [w.removesuffix(self.suffix)] for i in range(len(t) - 1)}
+        # in words of a to z alone, what this does not find are no boundaries
+        letters = [*map(chr, range(97, 123))]
+        cut = {a: [c for c in letters if a + c not in self.inside] for a in letters}
+        self.boundary = re.compile("|".join(["[^a-z]", *(f"{a}[{''.join(c)}]" for a, c in cut.items() if c)])).search
         self.special = re.compile(b"(" + b"|".join(re.escape(t.encode()) for t in sorted(self.added, key=len, reverse=True)) + b")") if self.added else None
-        self.pieces, self.word_ids = _Memory(self.piece, REMEMBERED), _Memory(self.word, REMEMBERED // 4)
+        self.pieces, self.word_ids = _Memory(self.piece, REMEMBERED), _Memory(self.word, REMEMBERED // 8)
 
     def split(self, word: str) -> list[str]:
         """Fragments of a byte-level word, cut at the forced boundaries."""
+        if not self.boundary(word):
+            return [word]
         inside = self.inside
         cuts = [i for i, pair in enumerate(map(str.__add__, word, word[1:]), 1) if pair not in inside]
         if not cuts:
@@ -118,7 +124,7 @@ class Bpe:
 
     def encode_block(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a piece that is common in the block is looked up once."""
-        texts = texts.cast(pa.large_string()).fill_null("")
+        texts = common.whole_strings(texts)
         odd = pc.match_substring_regex(texts, "|".join(["[\\x{300}-\\x{37f}]", *map(re.escape, self.added)])).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(plain) if self.lowers else plain)
@@ -180,6 +186,11 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Gives the worker's memory back once its texts are encoded."""
+    _loaded.clear()
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds the ids of each text: ``array<int>``."""
     schema = docs.drop(ids_col).withColumn(ids_col, F.array(F.lit(0)))
