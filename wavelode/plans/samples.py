@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import samples as s
 from ..functions.bands import EDGES
 from ..session import ship
+from ..sources.signals import signals
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding IS NOT NULL")
@@ -202,6 +203,13 @@ def q49_redundancy_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return y.select("vec_id", F.round(s.total(out), 9).alias("total"))
 
 
+def q53_test_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy, peak and zero crossings of the synthetic signals."""
+    y = signals(ship(spark), 9600).withColumn("v", F.col("value").cast("double"))
+    y = y.withColumn("crossed", F.signum("v") * F.signum(F.lag("v", 1, 0.0).over(Window.partitionBy("signal").orderBy("n"))) < 0)
+    return y.groupBy("signal").agg(F.round(F.sum(F.col("v") * F.col("v")), 3).alias("energy"), F.round(F.max(F.abs("v")), 5).alias("peak"), F.count_if("crossed").alias("crossings"))
+
+
 _F = "f AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL)"
 _E = f"{_F}, e AS (SELECT vec_id, label, unnest(range(len(x))) AS n, unnest(x) AS x FROM f)"
 _DOT = "list_sum(list_transform(range(1, len(x) - {k} + 1), lambda i: x[i] * x[i + {k}]))"
@@ -235,5 +243,15 @@ ORACLE = {
     "q32_bandwidth_choice": f"WITH {_G} SELECT bitrate, channels, CASE WHEN bitrate // channels < 9000 THEN 'Narrowband' WHEN bitrate // channels < 13500 THEN 'Wideband' WHEN bitrate // channels < 14000 THEN 'Superwideband' ELSE 'Fullband' END AS bandwidth, CAST(bitrate // 400 - 1 AS BIGINT) AS frame_bytes FROM g",
     "q48_hybrid_layers": f"WITH {_F}, y AS (SELECT vec_id, x, lead(x) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM f), z AS (SELECT vec_id, list_transform(range(1, 65), lambda i: least(greatest(round(x[i] * 32768), -32768), 32767) / 32768 + b[i]) AS z FROM y WHERE b IS NOT NULL) SELECT vec_id, round(list_sum(z), 9) AS layer_sum, round(list_max(z), 9) AS high FROM z",
     "q49_redundancy_overlay": f"WITH {_F}, y AS (SELECT vec_id, x, lag(x) OVER (PARTITION BY label ORDER BY vec_id) AS b, CAST({_W8} AS DOUBLE[]) AS w FROM f) SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN i <= 8 THEN b[i] WHEN i <= 16 THEN b[i] * (1 - w[i - 8]) + x[i] * w[i - 8] ELSE x[i] END)), 9) AS total FROM y WHERE b IS NOT NULL",
+    "q53_test_signals": """WITH RECURSIVE i AS (SELECT n, n / 48000.0::DOUBLE AS t FROM range(9600) r(n)),
+z AS (SELECT n, CAST(((n::HUGEINT * 6364136223846793005 + 1442695040888963407) % 18446744073709551616) // 8589934592 AS DOUBLE) / 1073741824 AS e FROM i),
+w AS (SELECT CAST(0 AS BIGINT) AS n, 0.6::DOUBLE * e AS v FROM z WHERE n = 0 UNION ALL SELECT w.n + 1, 0.3::DOUBLE * z.e + 0.3::DOUBLE * w.v FROM w JOIN z ON z.n = w.n + 1),
+s AS (SELECT 'chirp' AS signal, n, 0.8::DOUBLE * sin(2 * pi() * (200 + 3800 * t / 0.2::DOUBLE) * t) AS v FROM i
+UNION ALL SELECT 'harmonics', n, 0.5::DOUBLE * (sin(400 * pi() * t) + sin(800 * pi() * t) / 2 + sin(1200 * pi() * t) / 3 + sin(1600 * pi() * t) / 4 + sin(2000 * pi() * t) / 5) / (1 + 1 / 2::DOUBLE + 1 / 3::DOUBLE + 1 / 4::DOUBLE + 1 / 5::DOUBLE) FROM i
+UNION ALL SELECT 'burst', n, CASE WHEN n >= 4800 THEN 0.9::DOUBLE * sin(880 * pi() * t) ELSE 0 END FROM i
+UNION ALL SELECT 'shaped_noise', n, v FROM w
+UNION ALL SELECT 'onset', n, CASE WHEN n >= 4800 THEN 0.8::DOUBLE * least(1, (n - 4800) / 960::DOUBLE) * sin(880 * pi() * t) ELSE 0 END FROM i),
+f AS (SELECT signal, n, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM s), l AS (SELECT *, sign(v) * sign(lag(v, 1, 0) OVER (PARTITION BY signal ORDER BY n)) < 0 AS crossed FROM f)
+SELECT signal, round(sum(v * v), 3) AS energy, round(max(abs(v)), 5) AS peak, count(*) FILTER (crossed) AS crossings FROM l GROUP BY 1""",
     "q38_hysteresis": f"WITH RECURSIVE {_F}, w AS (SELECT vec_id, x, 0 AS i, 0 AS o, 0 AS n FROM f UNION ALL SELECT vec_id, x, i + 1, CASE WHEN x[i + 1] > 0.1 THEN 1 WHEN x[i + 1] < -0.1 THEN 0 ELSE o END, n + CASE WHEN x[i + 1] > 0.1 THEN 1 WHEN x[i + 1] < -0.1 THEN 0 ELSE o END FROM w WHERE i < len(x)) SELECT vec_id, CAST(n AS INTEGER) AS n_open, CAST(o AS INTEGER) AS open_at_end FROM w WHERE i = len(x)",
 }
