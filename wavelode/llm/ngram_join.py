@@ -405,7 +405,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for r in sketch:
         levels[r["chunk"] * size : (r["chunk"] + 1) * size] = r["levels"]
     shared = spark.sparkContext.broadcast(bytes(levels))
-    reps = rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("node"))
+    reps = common.stage(rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("node")), "ngram-reps")
 
     row = "token long, pos int, n int, d1 long, d2 long"
     prefixes = source.where("id is not null").select("text").mapInArrow(_prefix_scan(k, num, den, shared), row)
