@@ -5,9 +5,10 @@ network with keyed BLAKE2 rounds permutes.  The result has the same format and p
 (card check digit, date in the calendar, address in its block), and equal values get
 equal pseudonyms in every document, so links stay.  The permutation can be undone with the key.
 
-Kinds: e-mail addresses (letters and digits permute, the top-level domain stays), North American and other international phone numbers, payment cards (Luhn), 16-digit numbers that
-fail it, social security numbers, IBANs (mod 97), IPv4 addresses, ISO and slash dates, and secrets
-(``AKIA`` keys, hexadecimal tokens after ``token``/``password``/``secret``/``key``).
+Kinds: e-mail addresses (letters and digits permute, the top-level domain stays), North American and
+other international phone numbers, payment cards (Luhn), 13 to 19-digit numbers that fail it, social
+security numbers, IBANs (mod 97), IPv4 addresses, ISO and slash dates, and secrets (``AKIA`` keys,
+hexadecimal tokens after ``token``/``password``/``secret``/``key``).
 
 Null texts stay null, texts without matches are unchanged, other columns pass through.
 """
