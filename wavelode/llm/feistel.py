@@ -8,7 +8,8 @@ equal pseudonyms in every document, so links stay.  The permutation can be undon
 Kinds: e-mail addresses (letters and digits permute, the top-level domain stays), North American and
 other international phone numbers, payment cards (Luhn), 13 to 19-digit numbers that fail it, social
 security numbers, IBANs (mod 97), IPv4 addresses, ISO and slash dates, and secrets (``AKIA`` keys,
-hexadecimal tokens after ``token``/``password``/``secret``/``key``).
+hexadecimal tokens after ``token``/``password``/``secret``/``key`` in any case and ``=`` or ``:``, with
+or without blanks and quotes).
 
 Null texts stay null, texts without matches are unchanged, other columns pass through.
 """
@@ -142,18 +143,35 @@ def ssn(text: str, key: bytes, undo: bool) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{g_ + 1:02d}-{s_ + 1:04d}"
 
 
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+
+
 def _mod97(text: str) -> int:
     return int("".join(str(int(ch, 36)) for ch in text)) % 97
 
 
+def _iban_end(text: str) -> int:
+    """The last end of a word up to which ``text`` passes the check, or 0: words that follow may look like groups."""
+    for end in [len(text), *(i for i in range(len(text) - 1, 0, -1) if text[i] == " ")]:
+        flat = text[:end].replace(" ", "")
+        if _IBAN.fullmatch(text, 0, end) and _mod97(flat[4:] + flat[:4]) == 1:
+            return end
+    return 0
+
+
 def iban(text: str, key: bytes, undo: bool) -> str | None:
-    flat = text.replace(" ", "")
-    if _mod97(flat[4:] + flat[:4]) != 1:
+    """The pseudonym of as much of ``text`` as passes the check."""
+    end = _iban_end(text)
+    if not end:
         return None
-    body = _symbols(flat[4:], key, b"iban" + flat[:2].encode(), undo, (DIGITS, UPPER))
-    new = flat[:2] + f"{98 - _mod97(body + flat[:2] + '00'):02d}" + body
-    it = iter(new)
-    return "".join(ch if ch == " " else next(it) for ch in text)
+    new = text[:end]
+    while True:
+        flat = new.replace(" ", "")
+        body = _symbols(flat[4:], key, b"iban" + flat[:2].encode(), undo, (DIGITS, UPPER))
+        it = iter(flat[:2] + f"{98 - _mod97(body + flat[:2] + '00'):02d}" + body)
+        new = "".join(ch if ch == " " else next(it) for ch in new)
+        if _iban_end(new + text[end:]) == end:  # walks until it is read to the same end, that it can be undone
+            return new
 
 
 def ipv4(text: str, key: bytes, undo: bool) -> str | None:
@@ -222,7 +240,8 @@ def email(text: str, key: bytes, undo: bool) -> str | None:
 
 
 def secret_hex(text: str, key: bytes, undo: bool) -> str | None:
-    return _symbols(text, key, b"hex", undo, (HEX,))
+    classes = (HEX,) if text == text.lower() else (DIGITS, HEX[10:], HEX[10:].upper())
+    return "".join(_symbols(text[i : i + 64], key, b"hex", undo, classes) for i in range(0, len(text), 64))
 
 
 def access_key(text: str, key: bytes, undo: bool) -> str | None:
@@ -234,8 +253,7 @@ Kind = tuple[str, str, Callable[[str, bytes, bool], "str | None"]]
 KINDS: tuple[Kind, ...] = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])", email),
     ("access_key", r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])", access_key),
-    ("secret", r"(?:(?<=password=)|(?<=secret=)|(?<=token = \")|(?<=token=)|(?<=key=))[0-9a-f]{16,64}(?![0-9A-Za-z])", secret_hex),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
+    ("iban", _IBAN.pattern, iban),
     ("date", r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2})(?![\d/-])", iso_date),
     ("date", r"(?<![\d/.-])(?:\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])", day_first_date),
     ("phone", r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)", phone),
@@ -245,17 +263,32 @@ KINDS: tuple[Kind, ...] = (
     ("card", r"(?<![\w-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\w-])", card),
 )
 _ALL = re.compile("|".join(f"(?P<k{i}>{pattern})" for i, (_, pattern, _) in enumerate(KINDS)))
-#: Every match has a digit or an address sign; what comes before the first of them has no white space in it.
-_HINT = re.compile(r"[0-9@]+")
+#: Every match has a digit, an address sign or ``AKIA``; what comes before the first of them has no white space in it.
+#: A run of hexadecimal digits after ``=`` or ``:`` is a secret if a word for one comes before.
+_HINT = re.compile(r"[0-9@A:=](?:(?<=[0-9@])[0-9@]*|(?<=A)KIA|(?<=[:=])[:=]*>?\s*\\?[\"'`]?(?P<hex>[0-9A-Fa-f]{16,})(?![0-9A-Za-z]))")
+_SECRET = re.compile(r"(?i:password|secret|token|key)[\"'`\]\\]{0,4}\Z")
+_EMAIL = re.compile(KINDS[0][1])
+
+
+def _named_secret(text: str, at: int) -> bool:
+    """Whether a word for a secret comes before ``at``."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return _SECRET.search(text, max(0, at - 12), at) is not None
 
 
 def pseudonymize_text(text: str, key: bytes, undo: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and the spans ``(start, end, kind)`` replaced, in the old text."""
     out, last, spans = [], 0, []
     for hint in _HINT.finditer(text):
-        at, end = hint.span()
+        at, end = hint.span("hex" if hint["hex"] else 0)
         if end <= last:
             continue
+        if hint["hex"] and at >= last and _named_secret(text, hint.start()) and not _EMAIL.match(text, at):
+            out += [text[last:at], secret_hex(hint["hex"], key, undo)]
+            last = end
+            spans.append((at, end, "secret"))
+            continue
         first = at
         while first > last and at - first < 70 and not text[first - 1].isspace():
             first -= 1
@@ -266,7 +299,7 @@ def pseudonymize_text(text: str, key: bytes, undo: bool = False) -> tuple[str, l
                 new = f(m[0], key, undo)
                 if new is not None:
                     out += [text[last:place], new]
-                    last = m.end()
+                    last = place + len(new) if name == "iban" else m.end()
                     spans.append((place, last, name))
                     break
     return "".join([*out, text[last:]]) if spans else text, spans
