@@ -150,6 +150,39 @@ def test_automaton_is_the_distance():
             assert (hit is not None) == bool(near), w
 
 
+def test_automaton_meets_stems_short_terms_and_long_words():
+    long = "unausstehlichkeitsbeauftragter"
+    terms = {("idiot", True): 2.0, ("worthles", True): 2.0, ("scum", False): 2.0, (long, False): 2.0}
+    trie = toxicity.Trie(terms, {t: toxicity._asked(*t) for t in terms})
+    rng = random.Random(7)
+    words = ["idoitic", "idotic", "xidiotic", "wrthlesness", "scm", "scun", "scuum", long[1:], long + "xy", "idiot" * 9, "x" * 5000, "idxot" + "y" * 5000]
+    for base in ("idiotically", "worthlessness", "scum", long):
+        for _ in range(200):
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(w) + 1)
+                w[i : i + rng.randrange(2)] = rng.choice(["", "c", "t", "xy"])
+            words.append("".join(w))
+    for w in set(words):
+        got = {(t, stem): d for d, t, stem, _ in trie.near(w)}
+        for (t, stem), bound in trie.bound.items():
+            d = min(distance(t, w[:k]) for k in range(min(len(w), len(t) + 3) + 1)) if stem else distance(t, w) if abs(len(t) - len(w)) < 4 else 9
+            assert got.get((t, stem)) == (d if 0 < d <= bound else None), (w, t)
+
+
+def test_misspellings_of_words_beside_a_stem(spark):
+    # the stem has more evidence than each of its words; one edit of the short term is harmless, of the other not
+    forms = ["blorkest", "blorkers", "blorking", "blorkful"]
+    bad = [f"a{i} zzum b{i} quim c{i} {forms[i % 4]} d{i}" for i in range(80)]
+    good = [f"e{i} has f{i} quit g{i} plain h{i}" for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(bad + good)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(160)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    trie = model.trie()
+    assert any(stem and "blorking".startswith(t) for t, stem, _ in model.terms) and {(f, False) for f in forms} <= {t[:2] for t in model.terms}
+    assert all(trie.found[w] for w in ("blroking", "bolrkers", "blokrest", "zzumm", "zum")) and trie.found["quit"] is None and trie.found["quim"]
+
+
 def test_context():
     trie = toxicity.Trie(TERMS)
     _, aimed = toxicity.scan("you are an idiot", trie)

@@ -5,9 +5,10 @@ stems - that mark label 1 go into a lexicon with their log odds; then a logistic
 what the scan below counts in each text.
 
 Scoring (``score``): each word of a text is walked through the trie together with the Levenshtein
-automaton of its letters, which yields exact terms, words that begin with a stem term, and terms one
-edit away (two for long ones), with common letter disguises (``1`` for ``i`` and so on) undone at
-no cost.  A find in quotation marks, or near words of report or denial, counts as quoted; a find near
+automaton of its letters, which yields exact terms, words that begin with a stem term, terms one edit
+away (two for long ones), and words with a beginning as near to a stem, with common letter disguises
+(``1`` for ``i`` and so on) undone at no cost.  Stems and terms of four letters get as many edits as
+the texts of label 0 bear (``_bearable``); terms of three letters get none.  A find in quotation marks, or near words of report or denial, counts as quoted; a find near
 an address to the reader counts as aimed.  The score is the model's probability over these counts.
 
 Null and empty texts count nothing and get the model's base score.  Other columns pass through.  Labels,
@@ -74,22 +75,34 @@ def _letters(word: str) -> int:
     return mask
 
 
+Terms = dict[tuple[str, bool], float]
+
+
+def _edits(term: str) -> int:
+    return 2 if len(term) >= 8 else 1 if len(term) >= 5 else 0
+
+
 class Trie:
-    """Terms by letter; a node is ``[children, term at its end or None, stem that ends there or None, terms below as bits]``."""
+    """Terms by letter; a node is ``[children, term at its end or None, stem that ends there or None, terms below as bits]``.
+
+    ``edits`` says how far from a term a word, or from a stem a word's beginning, may be; else their lengths do.
+    """
 
-    def __init__(self, terms: dict[tuple[str, bool], float]):
+    def __init__(self, terms: Terms, edits: dict[tuple[str, bool], int] | None = None):
         self.root: list = [{}, None, None, 0]
-        whole = [t for t, stem in terms if not stem and len(t) >= 5]
-        bits = {t: 1 << i for i, t in enumerate(whole)}
+        self.bound = {t: _edits(t[0]) if edits is None else edits[t] for t in terms}
+        loose = [t for t in terms if self.bound[t]]
+        bits = {t: 1 << i for i, t in enumerate(loose)}
         for (term, stem), weight in terms.items():
             node = self.root
             for ch in term:
                 node = node[0].setdefault(ch, [{}, None, None, 0])
-                node[3] |= 0 if stem else bits.get(term, 0)
+                node[3] |= bits.get((term, stem), 0)
             node[2 if stem else 1] = (term, weight)
-        self.masks = np.array([_letters(t) for t in whole], np.uint64)
-        self.sizes = np.array([len(t) for t in whole], np.int64)
-        self.edits = np.where(self.sizes >= 8, 2, 1)
+        self.masks = np.array([_letters(t) for t, _ in loose], np.uint64)
+        self.sizes = np.array([len(t) for t, _ in loose], np.int64)
+        self.edits = np.array([self.bound[t] for t in loose], np.int64)
+        self.stems = np.array([stem for _, stem in loose], bool)
         #: ``(kind, term, weight)`` of the best match of a lower-case word, or None.
         self.found = _Found(lambda word: self._exact(word) or self._fuzzy(word))
 
@@ -104,26 +117,45 @@ class Trie:
         return ("exact", *node[1]) if node[1] else stem
 
     def _fuzzy(self, word: str) -> tuple[str, str, float] | None:
-        """Walks the trie with the states of the word's Levenshtein automaton: a row of distances per node."""
-        size = len(word)
-        if size < 4 or size > 24:
-            return None
         plain = "".join(DISGUISE.get(ch, ch) for ch in word)
         if plain != word and (hit := self._exact(plain)):
             return ("fuzzy", hit[1], hit[2])
+        best = min(self.near(plain), default=None)
+        return ("fuzzy", best[1], best[3]) if best else None
+
+    def near(self, plain: str) -> list[tuple[int, str, bool, float]]:
+        """``(distance, term, stem, weight)`` of all terms within their edits.
+
+        Walks the trie with the states of the word's Levenshtein automaton: a row of distances per node.
+        """
+        if not len(self.sizes):
+            return []
+        size = len(plain)
         # an edit changes at most two letters of the set and one of the length: most words end here
         apart = np.bitwise_count(self.masks ^ np.uint64(_letters(plain)))
-        near = np.flatnonzero((apart <= 2 * self.edits) & (np.abs(self.sizes - size) <= self.edits))
-        if not len(near):
-            return None
-        wanted = sum(1 << int(i) for i in near)
-        most = 2 if size >= 6 else 1
-        best: tuple | None = None
-        stack = [(self.root, tuple(range(size + 1)), 0)]
+        close = ~self.stems & (apart <= 2 * self.edits) & (np.abs(self.sizes - size) <= self.edits)
+        if self.stems.any():
+            # a stem's letters are among those of the longest beginning but one for each edit, and the shortest beginning's among its own
+            longest = min(size, int((self.sizes + self.edits)[self.stems].max()))
+            begun = np.bitwise_or.accumulate(np.array([0, *(_letters(ch) for ch in plain[:longest])], np.uint64))
+            most, least = (begun[np.minimum(np.maximum(self.sizes + by, 0), longest)] for by in (self.edits, -self.edits))
+            close |= self.stems & (self.sizes - self.edits <= size) & (np.bitwise_count(self.masks & ~most) <= self.edits) & (np.bitwise_count(least & ~self.masks) <= self.edits)
+        close = np.flatnonzero(close)
+        if not len(close):
+            return []
+        wanted = sum(1 << int(i) for i in close)
+        limit = int(self.edits[close].max())
+        # no term that is wanted looks further into the word than this
+        plain = plain[: int((self.sizes + self.edits)[close].max())]
+        whole, size = size, len(plain)
+        found = []
+        stack = [(self.root, tuple(range(size + 1)))]
         while stack:
-            node, row, depth = stack.pop()
-            if depth and node[1] and row[size] <= (2 if depth >= 8 else 1) and depth >= 5 and (best is None or (row[size], node[1][0]) < best[:2]):
-                best = (row[size], node[1][0], node[1][1])
+            node, row = stack.pop()
+            if node[1] and whole == size and 0 < row[size] <= self.bound[node[1][0], False]:
+                found.append((row[size], node[1][0], False, node[1][1]))
+            if node[2] and 0 < (d := min(row)) <= self.bound[node[2][0], True]:
+                found.append((d, node[2][0], True, node[2][1]))
             for ch, child in node[0].items():
                 if not child[3] & wanted:
                     continue
@@ -133,9 +165,9 @@ class Trie:
                     new.append(d)
                     if d < least:
                         least = d
-                if least <= most:  # the automaton has not died
-                    stack.append((child, tuple(new), depth + 1))
-        return ("fuzzy", best[1], best[2]) if best else None
+                if least <= limit:  # the automaton has not died
+                    stack.append((child, tuple(new)))
+        return found
 
 
 def scan(text: str | None, trie: Trie) -> tuple[list[float], list[tuple[int, int, str, str, bool]]]:
@@ -171,9 +203,12 @@ class Model:
     terms: tuple[tuple[str, bool, float], ...]
     coefficients: tuple[float, ...]
     intercept: float
+    #: The terms' edits; if empty, their lengths decide.
+    edits: tuple[int, ...] = ()
 
     def trie(self) -> Trie:
-        return Trie({(t, s): w for t, s, w in self.terms})
+        edits = {(t, s): e for (t, s, _), e in zip(self.terms, self.edits, strict=True)} if self.edits else None
+        return Trie({(t, s): w for t, s, w in self.terms}, edits)
 
     def probability(self, features: list[float]) -> float:
         z = self.intercept + sum(a * b for a, b in zip(self.coefficients, features, strict=True))
@@ -227,6 +262,56 @@ def _hold(terms: tuple[tuple[str, bool, float], ...]):
     return run
 
 
+def _asked(term: str, stem: bool) -> int:
+    """The edits that a term may get if the texts of label 0 bear them."""
+    return max(_edits(term), int(len(term) == 4))
+
+
+def _count_near(terms: tuple[tuple[str, bool, float], ...]):
+    """In how many texts of each label a word is one or two edits from each term and no match without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie({(t, s): w for t, s, w in terms}, {(t, s): _asked(t, s) for t, s, _ in terms})
+        place = {(t, s): i for i, (t, s, _) in enumerate(terms)}
+
+        def look(word: str) -> list[tuple[int, int]]:
+            plain = "".join(DISGUISE.get(ch, ch) for ch in word)
+            return [] if trie._exact(word) or trie._exact(plain) else [(place[t, s], d) for d, t, s, _ in trie.near(plain)]
+
+        known, counts = _Found(look), Counter()
+        for batch in common.slices(batches):
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                least: dict[int, int] = {}
+                for word in set(_WORDS.findall((text or "").lower())):
+                    for at, d in known[word]:
+                        least[at] = min(d, least.get(at, d))
+                counts.update((at, d, label) for at, d in least.items())
+        rows = sorted(counts.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in rows], pa.int32()) for i in range(3)] + [pa.array([n for _, n in rows], pa.int64())], names=["at", "edits", "label", "n"])
+
+    return run
+
+
+def _bearable(terms: tuple[tuple[str, bool, float], ...], counts: dict[tuple[int, int, int], int], ones: int, zeros: int) -> tuple[int, ...]:
+    """The most edits at which a stem or a short term still marks label 1, or meets no text of label 0; longer words keep theirs."""
+    out = []
+    for at, (term, stem, _) in enumerate(terms):
+        edits = _asked(term, stem)
+        while edits and (stem or edits > _edits(term)):
+            n1, n0 = (sum(counts.get((at, d, label), 0) for d in range(1, edits + 1)) for label in (1, 0))
+            if not n0 or ((n1 + 0.5) / (ones + 1)) / ((n0 + 0.5) / (zeros + 1)) >= RATIO:
+                break
+            edits -= 1
+        out.append(edits)
+    return tuple(out)
+
+
+def _beside(chosen: tuple[tuple[str, bool, float], ...], terms: list[tuple[str, bool, float]]) -> tuple[tuple[str, bool, float], ...]:
+    """The chosen terms, and the whole words with evidence that begin with a chosen stem: their misspellings may be far from it."""
+    stems = {t for t, stem, _ in chosen if stem}
+    return tuple(sorted({*chosen, *(t for t in terms if not t[1] and any(t[0][:k] in stems for k in range(1, len(t[0]) + 1)))}))
+
+
 def _choose(terms: list[tuple[str, bool, float]], texts: list[tuple[int, list[int]]]) -> tuple[tuple[str, bool, float], ...]:
     """Greedily the term with the most evidence in the texts of label 1 that the chosen ones do not cover yet.
 
@@ -293,10 +378,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     gain = F.col("ones") * F.log(F.col("ones") / (held * share)) + F.when(F.col("zeros") > 0, F.col("zeros") * F.log(F.col("zeros") / (held * (1 - share)))).otherwise(0.0)
     counted = counted.where("ones >= 3").withColumn("odds", odds).withColumn("gain", gain)
     top = counted.where((F.col("gain") >= EVIDENCE) & (F.col("odds") >= math.log(RATIO))).orderBy(F.desc("gain"), "stem", "term").limit(CANDIDATES).collect()
-    candidates = _prune([(r["term"], r["stem"], float(r["odds"])) for r in top])
+    strong = [(r["term"], r["stem"], float(r["odds"])) for r in top]
+    candidates = _prune(strong)
     held = sample.mapInArrow(_hold(tuple(candidates)), "label int, held array<int>").collect()  # at most 2 * sample_rows short rows
-    trie_terms = _choose(candidates, [(r["label"], r["held"]) for r in held])
-    model = Model(trie_terms, (0.0,) * len(FEATURES), 0.0)
+    trie_terms = _beside(_choose(candidates, [(r["label"], r["held"]) for r in held]), strong)
+    near_counts = sample.mapInArrow(_count_near(trie_terms), "at int, edits int, label int, n long").groupBy("at", "edits", "label").agg(F.sum("n").alias("n")).collect()  # at most four rows a term
+    edits = _bearable(trie_terms, {(r["at"], r["edits"], r["label"]): r["n"] for r in near_counts}, ones, zeros)
+    model = Model(trie_terms, (0.0,) * len(FEATURES), 0.0, edits)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = model.trie()
@@ -309,7 +397,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got], float)
     w, b = _fit(x, y)
     common.unstage(sample)
-    return Model(trie_terms, tuple(float(v) for v in w), b)
+    return Model(trie_terms, tuple(float(v) for v in w), b, edits)
 
 
 def _prune(terms: list[tuple[str, bool, float]]) -> list[tuple[str, bool, float]]:
