@@ -183,6 +183,13 @@ def test_misspellings_of_words_beside_a_stem(spark):
     assert all(trie.found[w] for w in ("blroking", "bolrkers", "blokrest", "zzumm", "zum")) and trie.found["quit"] is None and trie.found["quim"]
 
 
+def test_lexicon_holds_all_terms_with_evidence():
+    # 700 terms, each in thirty texts of its own: three terms a text
+    terms = [(f"term{i}", False, 3.0) for i in range(700)]
+    texts = [(1, [i % 700, (i + 1) % 700, (i + 2) % 700]) for i in range(7000)] + [(0, [])] * 7000
+    assert toxicity._choose(terms, texts) == tuple(sorted(terms))
+
+
 def test_context():
     trie = toxicity.Trie(TERMS)
     _, aimed = toxicity.scan("you are an idiot", trie)

@@ -32,8 +32,6 @@ from . import common
 
 #: Labelled rows that a fit reads at most, by hash order of their ids: label 1 and label 0 each.
 SAMPLE_ROWS = 6000
-#: Terms that compete for the lexicon at most, and those it holds at most.
-CANDIDATES, TERMS = 2048, 256
 #: A text of label 1 speaks for further terms until so many of those chosen are in it.
 COVER = 6
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
@@ -317,17 +315,17 @@ def _choose(terms: list[tuple[str, bool, float]], texts: list[tuple[int, list[in
 
     Words that only come with others - those of a text that was copied often - thus stay out.
     """
-    y = np.array([label for label, _ in texts])
-    holds = np.zeros((len(texts), len(terms)), bool)
-    for i, (_, held) in enumerate(texts):
-        holds[i, held] = True
-    ones, zeros = (y == 1).sum(), (y == 0).sum()
-    in_zeros = holds[y == 0].sum(axis=0)
-    in_ones, covered, chosen = holds[y == 1], np.zeros(ones, int), []
+    ones, zeros = (sum(label == v for label, _ in texts) for v in (1, 0))
+    in_zeros, n1 = np.zeros(len(terms)), np.zeros(len(terms))
+    held_by: list[list[int]] = [[] for _ in terms]  # the texts of label 1 that hold a term
+    for i, (label, held) in enumerate(texts):
+        (n1 if label else in_zeros)[held] += 1
+        for at in held if label else ():
+            held_by[at].append(i)
+    covered, chosen = [0] * len(texts), []
     free = np.ones(len(terms), bool)
-    while len(chosen) < TERMS and len(terms):
-        n1 = in_ones[covered < COVER].sum(axis=0)
-        share = ones / (ones + zeros)
+    share = ones / (ones + zeros)
+    while len(terms):
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = n1 * np.log(n1 / ((n1 + in_zeros) * share)) + np.where(in_zeros > 0, in_zeros * np.log(in_zeros / ((n1 + in_zeros) * (1 - share))), 0.0)
             ratio = ((n1 + 0.5) / (ones + 1)) / ((in_zeros + 0.5) / (zeros + 1))
@@ -337,7 +335,10 @@ def _choose(terms: list[tuple[str, bool, float]], texts: list[tuple[int, list[in
             break
         chosen.append(terms[best])
         free[best] = False
-        covered += in_ones[:, best]
+        for i in held_by[best]:
+            covered[i] += 1
+            if covered[i] == COVER:
+                n1[texts[i][1]] -= 1
     return tuple(sorted(chosen))
 
 
@@ -377,7 +378,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = F.col("ones") + F.col("zeros")
     gain = F.col("ones") * F.log(F.col("ones") / (held * share)) + F.when(F.col("zeros") > 0, F.col("zeros") * F.log(F.col("zeros") / (held * (1 - share)))).otherwise(0.0)
     counted = counted.where("ones >= 3").withColumn("odds", odds).withColumn("gain", gain)
-    top = counted.where((F.col("gain") >= EVIDENCE) & (F.col("odds") >= math.log(RATIO))).orderBy(F.desc("gain"), "stem", "term").limit(CANDIDATES).collect()
+    top = counted.where((F.col("gain") >= EVIDENCE) & (F.col("odds") >= math.log(RATIO))).orderBy(F.desc("gain"), "stem", "term").collect()  # terms of at most 2 * sample_rows texts
     strong = [(r["term"], r["stem"], float(r["odds"])) for r in top]
     candidates = _prune(strong)
     held = sample.mapInArrow(_hold(tuple(candidates)), "label int, held array<int>").collect()  # at most 2 * sample_rows short rows
@@ -424,7 +425,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     if finds_col:
         schema = schema.add(finds_col, T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("kind", "string").add("term", "string").add("quoted", "boolean")))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("term", pa.string()), ("quoted", pa.bool_())]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
