@@ -190,6 +190,33 @@ def test_licences(spark, empty):
     assert licenses.scan(empty, licenses.known_licenses(spark)).collect() == []
 
 
+def test_stored_licences(spark):
+    apache = """Copyright 2020 Somebody
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+    cases = [("Apache-2.0", "Apache-2.0", apache), (None, "GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later\nx"), (None, "", "SPDX-License-Identifier: none")]
+    for name, license_id in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        try:
+            with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+                cases.append((license_id, None, f.read().upper()))
+        except FileNotFoundError:
+            continue
+    docs = spark.createDataFrame([(i, c[2]) for i, c in enumerate(cases)], "doc_id int, text string")
+    for r in licenses.scan(docs, licenses.known_licenses(spark)).collect():
+        license_id, notices, _ = cases[r.doc_id]
+        assert r.license_id == license_id and notices in (None, r.notices), r
+
+
 def test_licence_sql(spark, sf, duck):
     from ..compare import same
 

@@ -11,6 +11,8 @@ but for the id, whose name is a parameter; repeated rows are rows of their own.
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Known licences up to which they are broadcast; a larger table is joined by a shuffle.
@@ -111,11 +113,21 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_licenses(spark: SparkSession, rows: tuple[tuple[str, str], ...] = LICENSES) -> DataFrame:
-    """``(digest, license_id)``, one row per digest."""
+def stored_digests() -> list[tuple[str, str]]:
+    """``(digest, license_id)`` of full texts, standard headers and SPDX lines, from ``known_licenses.tsv`` (id, digest, what it is)."""
+    lines = pkgutil.get_data(__package__, "known_licenses.tsv").decode().splitlines()
+    return [(found, license_id) for license_id, found, _ in (line.split("\t") for line in lines)]
+
+
+def known_licenses(spark: SparkSession, rows: tuple[tuple[str, str], ...] = LICENSES, stored: bool = True) -> DataFrame:
+    """``(digest, license_id)``, one row per digest: of the texts given, and the stored ones unless left out."""
     texts = F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in rows))
     table = spark.range(1).select(F.inline(texts))
-    return table.select(digest(F.col("text")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    table = table.select(digest(F.col("text")).alias("digest"), "license_id")
+    if stored:
+        more = F.array(*(F.struct(F.lit(d).alias("digest"), F.lit(i).alias("license_id")) for d, i in stored_digests()))
+        table = table.union(spark.range(1).select(F.inline(more)))
+    return table.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
