@@ -69,7 +69,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(path)
-        width = "<u2" if len(coder.token_bytes) <= 1 << 16 else "<u4"
+        width = "<u2" if coder.n_ids <= 1 << 16 else "<u4"
         for batch in common.slices(batches, 2048):
             out, points = [], []
             for found in coder.encode_all(batch.column(1)):
@@ -103,7 +103,6 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, id_col
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe.forget()  # the worker may be one that encoded
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
         for batch in common.slices(batches):
             cols: list[list] = [[] for _ in names]
