@@ -16,7 +16,11 @@ _SCORE = "toxicity_score_of_this_stage"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below ``TOXIC`` by a model of the labelled rows that are not held out.  Empty texts stay."""
+    """Documents scored below ``TOXIC`` by a model of the labelled rows that are not held out.
+
+    A text in which nothing is found scores at most 1/2 and stays; so do null and empty texts, and all texts where
+    the labels are of one kind only.
+    """
     labels = common.table(spark, sf_dir, "labels").where(~toxicity.held_out())
     model = toxicity.learn(docs, labels)
     return toxicity.score(docs, model, score_col=_SCORE).where(F.col(_SCORE) < TOXIC).drop(_SCORE)

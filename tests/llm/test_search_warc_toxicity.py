@@ -139,7 +139,7 @@ def test_automaton_is_the_distance():
                 w[i : i + rng.randrange(2)] = rng.choice(["", "a", "t", "xy"])
             words.append("".join(w))
     for w in set(words):
-        hit = trie.found[w]
+        hit = trie.look_up([w]).get(w)
         plain = "".join(toxicity.DISGUISE.get(c, c) for c in w)
         near = [t for t, stem in TERMS if not stem and len(t) >= 5 and 4 <= len(w) <= 24 and distance(plain, t) <= (2 if len(t) >= 8 else 1)]
         if (w, False) in TERMS:
@@ -180,13 +180,14 @@ def test_misspellings_of_words_beside_a_stem(spark):
     model = toxicity.learn(docs, labels)
     trie = model.trie()
     assert any(stem and "blorking".startswith(t) for t, stem, _ in model.terms) and {(f, False) for f in forms} <= {t[:2] for t in model.terms}
-    assert all(trie.found[w] for w in ("blroking", "bolrkers", "blokrest", "zzumm", "zum")) and trie.found["quit"] is None and trie.found["quim"]
+    found = trie.look_up(["blroking", "bolrkers", "blokrest", "zzumm", "zum", "quit", "quim"])
+    assert found.keys() == {"blroking", "bolrkers", "blokrest", "zzumm", "zum", "quim"}
 
 
 def test_lexicon_holds_all_terms_with_evidence():
     # 700 terms, each in thirty texts of its own: three terms a text
     terms = [(f"term{i}", False, 3.0) for i in range(700)]
-    texts = [(1, [i % 700, (i + 1) % 700, (i + 2) % 700]) for i in range(7000)] + [(0, [])] * 7000
+    texts = [(1, [i % 700, (i + 1) % 700, (i + 2) % 700], []) for i in range(7000)] + [(0, [], [])] * 7000
     assert toxicity._choose(terms, texts) == tuple(sorted(terms))
 
 
@@ -197,7 +198,12 @@ def test_context():
     assert [f[4] for f in aimed] == [False] and [f[4] for f in quoted] == [True]
     assert features[0] == 0 and features[3] > 0
     assert toxicity.scan(None, trie)[1] == [] == toxicity.scan("", trie)[1]
-    text = "Some SCUM here"
+    # inches are no quotation; marks pair over sentences, not over paragraphs; report and denial quote
+    spread = toxicity.scan('A 5" pipe. You idiot, you are worthless, you idiot! A 6" pipe.', trie)[1]
+    assert len(spread) == 3 and not any(f[4] for f in spread)
+    assert toxicity.scan('he cried "you idiot! go." and left', trie)[1][0][4] and not toxicity.scan('he cried "so\nyou idiot! go." and left', trie)[1][0][4]
+    assert toxicity.scan("they said he was never an idiot", trie)[1][0][4] and toxicity.scan("„idiot“ rief er", trie)[1][0][4] and toxicity.scan("« idiot » dit-elle", trie)[1][0][4]
+    text = "İ Some SCUM here"
     (start, end, *_), = toxicity.scan(text, trie)[1]
     assert text[start:end] == "SCUM"
 
@@ -208,8 +214,8 @@ def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = out.join(labels, "doc_id").where("held_out").collect()
     hits = sum(r.predicted == 1 and r.toxic == 1 for r in rows)
-    assert hits / sum(r.toxic == 1 for r in rows) > 0.7
-    assert hits / sum(r.predicted == 1 for r in rows) > 0.9
+    assert hits / sum(r.toxic == 1 for r in rows) >= 0.9
+    assert hits / sum(r.predicted == 1 for r in rows) >= 0.95
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
 
 
@@ -221,6 +227,31 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), model, finds_col="finds").collect() == []
 
 
+def test_labels_of_one_kind_reject_nothing(spark, tmp_path):
+    import corpus_pipeline as p
+
+    texts = ["you idiot", "you idiot", "", None, "plain words", "you idiot and more"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, labels in {"ones": [(i, 1) for i in range(6)], "zeros": [(i, 0) for i in range(6)], "none": [], "few": [(0, 1), (4, 0)], "most": [(0, 1), (1, 1), (2, 1), (5, 1), (4, 0)]}.items():
+        rows = spark.createDataFrame([(i, 0, t) for i, t in labels], "doc_id long, quality int, toxic int")
+        rows.write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert p.drop_toxic(spark, docs, str(tmp_path / name)).count() == 6, name
+
+
+def test_copies_and_order_of_the_sample(spark):
+    bad, good = [f"a{i} scum b{i} you" for i in range(40)], [f"a{i} plain b{i} they" for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(bad + good)]
+    labels = [(i, int(i < 40)) for i in range(80)]
+    models = []
+    for d, g in ((rows, labels), (rows[::-1], labels[::-1]), (rows + rows[:5], labels + labels)):
+        models.append(toxicity.learn(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(g, "doc_id long, toxic int")))
+    assert models[0] == models[1] and [t[:2] for t in models[0].terms] == [t[:2] for t in models[2].terms]
+    scores = {r.text: set() for r in spark.createDataFrame(rows, "doc_id long, text string").collect()}
+    for r in toxicity.score(spark.createDataFrame(rows + rows, "doc_id long, text string"), models[0]).collect():
+        scores[r.text].add(r.score)
+    assert all(len(v) == 1 for v in scores.values()) and min(min(scores[t]) for t in bad) > 0.7 > max(max(scores[t]) for t in good)
+
+
 def test_held_out_rule(spark):
     import zlib
 
@@ -228,7 +259,7 @@ def test_held_out_rule(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
 
 
-def test_pipeline(spark, sf):
+def test_pipeline(spark, sf, tmp_path):
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -237,7 +268,7 @@ def test_pipeline(spark, sf):
     counts = []
     for name, stage in p.STAGES:
         docs = stage(spark, docs, sf)
-        path = f"/tmp/wavelode-test-{name}-{random.random()}"
+        path = str(tmp_path / name)
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
         counts.append(docs.count())
@@ -247,3 +278,20 @@ def test_pipeline(spark, sf):
     sizes = docs.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"))
     assert sizes.count() == counts[2] and sizes.where("n <> m").count() == 0
     assert [n for n, _ in p.STAGES] == ["toxicity", "ngram_join", "pii", "packing"] and p.ORACLE_SQL is None
+    assert sorted(p.run(spark, sf).collect()) == sorted(docs.collect())
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as p
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score string, ids string, n int, key string, component_id long"
+    texts = [None, "", "one two three four five six seven", "one two three four five six seven", "mail a.person@example.com now please do", "word " * 50_000, "x"]
+    rows = [(i, t, None, None, None, "a", "b", 1, "c", 2) for i, t in enumerate(texts)] + [(None, "no id", None, None, None, None, None, None, None, None)]
+    for name, data in {"odd": rows, "empty": []}.items():
+        sf = str(tmp_path / name)
+        spark.createDataFrame(data, kind).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        out = p.run(spark, sf).collect()
+        # one of the two equal texts is left; every other row is packed
+        assert sorted({r.doc_id for r in out if r.doc_id is not None}) == ([0, 1, 2, 4, 5, 6] if data else [])
+        assert sum(r.start == 0 for r in out) == (7 if data else 0)

@@ -4,15 +4,20 @@ Learning (``learn``): from a bounded sample of the labelled rows given, terms -
 stems - that mark label 1 go into a lexicon with their log odds; then a logistic model is fitted on
 what the scan below counts in each text.
 
-Scoring (``score``): each word of a text is walked through the trie together with the Levenshtein
-automaton of its letters, which yields exact terms, words that begin with a stem term, terms one edit
+Scoring (``score``): the distinct words of a block of texts are looked up at once.  Those that a count of
+their letters leaves in reach are walked through the trie together with the Levenshtein
+automaton of their letters, which yields exact terms, words that begin with a stem term, terms one edit
 away (two for long ones), and words with a beginning as near to a stem, with common letter disguises
 (``1`` for ``i`` and so on) undone at no cost.  Stems and terms of four letters get as many edits as
-the texts of label 0 bear (``_bearable``); terms of three letters get none.  A find in quotation marks, or near words of report or denial, counts as quoted; a find near
-an address to the reader counts as aimed.  The score is the model's probability over these counts.
+the texts of label 0 bear (``_bearable``), other words at most theirs; terms of three letters get none.
 
-Null and empty texts count nothing and get the model's base score.  Other columns pass through.  Labels,
-language, source and id are no input of a score.
+A find counts as quoted between quotation marks (straight ones of one sentence, opening and closing
+ones of one paragraph) or within ``WINDOW`` words of a word of report or denial; else as aimed where a
+word of address is as near.  The score is the model's probability over these counts.
+
+Null and empty texts count nothing.  A text in which nothing is found gets the model's base score, at most
+1/2; so does every text where the sample holds one label alone, or none.  Repeated rows score alike.
+Other columns pass through.  Labels, language, source and id are no input of a score.
 """
 
 from __future__ import annotations
@@ -20,12 +25,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
 from . import common
@@ -48,24 +53,16 @@ DISGUISE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"
 QUOTING = frozenset("said says wrote quote quoted quotes called word words term phrase slur never not allegedly reported".split())
 AIMING = frozenset("you your youre ur u du dein deine tu te toi vous eres tú usted".split())
 
-_WORDS = re.compile(r"[^\W_]+(?:[@$!][^\W_]+)*|[“”\"«»„]", re.UNICODE)
-QUOTES = frozenset("“”\"«»„")
+_WORD = r"[^\W_]+(?:[@$!][^\W_]+)*"
+_WORDS = re.compile(_WORD, re.UNICODE)
+_MARKS = re.compile("[“”\"«»„]")
+_PLAINER = str.maketrans(DISGUISE)
+#: Characters of text whose words are looked up at once.
+BLOCK = 1_000_000
 
 FEATURES = ("exact", "stem", "fuzzy", "quoted", "aimed", "rate", "kinds", "weight")
 
 
-class _Found(dict):
-    def __init__(self, look):
-        super().__init__()
-        self.look = look
-
-    def __missing__(self, word: str) -> tuple | None:
-        if len(self) > 300_000:
-            self.clear()
-        hit = self[word] = self.look(word)
-        return hit
-
-
 def _letters(word: str) -> int:
     mask = 0
     for ch in word:
@@ -74,6 +71,8 @@ def _letters(word: str) -> int:
 
 
 Terms = dict[tuple[str, bool], float]
+#: How a word matches - ``exact``, ``stem`` or ``fuzzy`` - what it would be without edits, the term, and its weight.
+Hit = tuple[str, str, str, float]
 
 
 def _edits(term: str) -> int:
@@ -101,8 +100,7 @@ class Trie:
         self.sizes = np.array([len(t) for t, _ in loose], np.int64)
         self.edits = np.array([self.bound[t] for t in loose], np.int64)
         self.stems = np.array([stem for _, stem in loose], bool)
-        #: ``(kind, term, weight)`` of the best match of a lower-case word, or None.
-        self.found = _Found(lambda word: self._exact(word) or self._fuzzy(word))
+        self.begun = {t[:2] for t, _ in terms}
 
     def _exact(self, word: str) -> tuple[str, str, float] | None:
         node, stem = self.root, None
@@ -114,38 +112,65 @@ class Trie:
                 stem = ("stem", *node[2])
         return ("exact", *node[1]) if node[1] else stem
 
-    def _fuzzy(self, word: str) -> tuple[str, str, float] | None:
-        plain = "".join(DISGUISE.get(ch, ch) for ch in word)
-        if plain != word and (hit := self._exact(plain)):
-            return ("fuzzy", hit[1], hit[2])
-        best = min(self.near(plain), default=None)
-        return ("fuzzy", best[1], best[3]) if best else None
+    def look_up(self, words: Collection[str]) -> dict[str, Hit]:
+        """The best match of each lower-case word that has one."""
+        found, rest = {}, []
+        for word in words:
+            hit = self._exact(word) if word[:2] in self.begun else None
+            plain = word.translate(_PLAINER)
+            if hit:
+                found[word] = (hit[0], *hit)
+            elif plain != word and plain[:2] in self.begun and (hit := self._exact(plain)):
+                found[word] = ("fuzzy", *hit)
+            else:
+                rest.append((word, plain))
+        for (word, plain), reached in zip(rest, self.reached([p for _, p in rest]), strict=True):
+            if reached and (near := self.near(plain, reached)):
+                best = min(near)
+                found[word] = ("fuzzy", "stem" if best[2] else "exact", best[1], best[3])
+        return found
+
+    def reached(self, words: list[str]) -> list[int]:
+        """The terms, as bits, that each word's letters leave in reach of their edits.
+
+        An edit changes at most two letters of the set and one of the length.  A stem's letters are among those of
+        the word's longest beginning but one for each edit, and the shortest beginning's among its own.
+        """
+        out = [0] * len(words)
+        if not words or not len(self.sizes):
+            return out
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        bits = np.uint64(1) << (np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) & 63).astype(np.uint64)
+        ends = np.cumsum(sizes)
+        masks = np.bitwise_or.reduceat(bits, ends - sizes)
+        begun = np.zeros((len(words), int((self.sizes + self.edits).max()) + 1), np.uint64)
+        at = np.arange(len(bits)) - np.repeat(ends - sizes, sizes)
+        inside = at < begun.shape[1] - 1
+        begun[np.repeat(np.arange(len(words)), sizes)[inside], at[inside] + 1] = bits[inside]
+        begun = np.bitwise_or.accumulate(begun, axis=1)
+        for i, (mask, size, edits, stem) in enumerate(zip(self.masks, self.sizes.tolist(), self.edits.tolist(), self.stems.tolist(), strict=True)):
+            if stem:
+                close = (sizes >= size - edits) & (np.bitwise_count(mask & ~begun[:, size + edits]) <= edits) & (np.bitwise_count(begun[:, max(0, size - edits)] & ~mask) <= edits)
+            else:
+                close = (np.abs(sizes - size) <= edits) & (np.bitwise_count(masks ^ mask) <= 2 * edits)
+            for j in np.flatnonzero(close).tolist():
+                out[j] |= 1 << i
+        return out
 
-    def near(self, plain: str) -> list[tuple[int, str, bool, float]]:
-        """``(distance, term, stem, weight)`` of all terms within their edits.
+    def near(self, plain: str, wanted: int | None = None) -> list[tuple[int, str, bool, float]]:
+        """``(distance, term, stem, weight)`` of the ``wanted`` terms (bits; else those in reach) within their edits.
 
         Walks the trie with the states of the word's Levenshtein automaton: a row of distances per node.
         """
-        if not len(self.sizes):
-            return []
-        size = len(plain)
-        # an edit changes at most two letters of the set and one of the length: most words end here
-        apart = np.bitwise_count(self.masks ^ np.uint64(_letters(plain)))
-        close = ~self.stems & (apart <= 2 * self.edits) & (np.abs(self.sizes - size) <= self.edits)
-        if self.stems.any():
-            # a stem's letters are among those of the longest beginning but one for each edit, and the shortest beginning's among its own
-            longest = min(size, int((self.sizes + self.edits)[self.stems].max()))
-            begun = np.bitwise_or.accumulate(np.array([0, *(_letters(ch) for ch in plain[:longest])], np.uint64))
-            most, least = (begun[np.minimum(np.maximum(self.sizes + by, 0), longest)] for by in (self.edits, -self.edits))
-            close |= self.stems & (self.sizes - self.edits <= size) & (np.bitwise_count(self.masks & ~most) <= self.edits) & (np.bitwise_count(least & ~self.masks) <= self.edits)
-        close = np.flatnonzero(close)
-        if not len(close):
+        wanted = self.reached([plain])[0] if wanted is None else wanted
+        close = [i for i in range(wanted.bit_length()) if wanted >> i & 1]
+        if not close:
             return []
-        wanted = sum(1 << int(i) for i in close)
         limit = int(self.edits[close].max())
         # no term that is wanted looks further into the word than this
+        whole = len(plain)
         plain = plain[: int((self.sizes + self.edits)[close].max())]
-        whole, size = size, len(plain)
+        size = len(plain)
         found = []
         stack = [(self.root, tuple(range(size + 1)))]
         while stack:
@@ -168,32 +193,90 @@ class Trie:
         return found
 
 
-def scan(text: str | None, trie: Trie) -> tuple[list[float], list[tuple[int, int, str, str, bool]]]:
-    """Features of a text, and its finds ``(start, end, kind, term, quoted)``."""
-    counts = dict.fromkeys(("exact", "stem", "fuzzy", "quoted", "aimed"), 0.0)
-    finds, weight, kinds, n = [], 0.0, set(), 0
-    if text:
-        low = text.lower()
-        words = _WORDS.findall(low)
-        n = len(words)
-        hits = {w: hit for w in set(words) if (hit := trie.found[w]) is not None}
-        if hits:
-            marks = np.cumsum([w in QUOTES for w in words])
-            for i, m in enumerate(_WORDS.finditer(low)):
-                if m[0] not in hits:
-                    continue
-                kind, term, w = hits[m[0]]
-                near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-                within = marks[i] % 2 == 1 and marks[-1] > marks[i]
-                quoted = bool(within or any(x in QUOTING for x in near) and any(x in QUOTES for x in near))
-                counts["quoted" if quoted else kind] += 1
-                counts["aimed"] += not quoted and any(x in AIMING for x in near)
-                if not quoted:
-                    weight += w
-                    kinds.add(term)
-                finds.append((m.start(), m.end(), kind, term, quoted))
+def _near(trie: Trie, words: Collection[str]) -> dict[str, list[tuple[int, str, bool, float]]]:
+    """The terms near each word that is no match without an edit."""
+    rest = [(w, p) for w in words if not trie._exact(w) and not trie._exact(p := w.translate(_PLAINER))]
+    return {w: trie.near(p, wanted) for (w, p), wanted in zip(rest, trie.reached([p for _, p in rest]), strict=True) if wanted}
+
+
+Find = tuple[int, int, str, str, bool]
+
+
+def _quotations(line: str, marks: list[int]) -> list[tuple[int, int]]:
+    """Spans between an opening and the next closing mark; straight marks open after white space and before none."""
+    spans, start, by = [], None, ""
+    for at in marks:
+        mark = line[at]
+        apart = (at == 0 or not line[at - 1].isalnum() and line[at - 1] not in ".,!?") and at + 1 < len(line) and not line[at + 1].isspace()
+        opens = {"\"": apart, "“": by != "„", "„": True, "«": by != "»", "»": by != "«" and apart}.get(mark, False)
+        if opens:
+            start, by = at, mark
+        elif start is not None:
+            spans.append((start, at))
+            start, by = None, ""
+    return spans
+
+
+def _finds(low: str, hits: dict[str, Hit]) -> Iterator[tuple[Find, str, float, bool]]:
+    """The finds of a text in lower case, with what they would be without edits, their weights, and whether they are aimed; contexts end with the paragraph."""
+    start = 0
+    for line in low.split("\n"):
+        words = _WORDS.findall(line)
+        if not hits.keys().isdisjoint(words):
+            spans = _quotations(line, [m.start() for m in _MARKS.finditer(line)])
+            for i, m in enumerate(_WORDS.finditer(line)):
+                if m[0] in hits:
+                    kind, plain, term, weight = hits[m[0]]
+                    near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
+                    quoted = not QUOTING.isdisjoint(near) or any(a < m.start() < b for a, b in spans)
+                    yield (start + m.start(), start + m.end(), kind, term, quoted), plain, weight, not quoted and not AIMING.isdisjoint(near)
+        start += len(line) + 1
+
+
+def _scan(low: str, n: int, hits: dict[str, Hit]) -> tuple[list[float], list[Find]]:
+    """Features of a text of ``n`` words, and its finds ``(start, end, kind, term, quoted)``."""
+    counts = dict.fromkeys(("exact", "stem", "fuzzy", "quoted", "aimed"), 0)
+    finds, weight, kinds = [], 0.0, set()
+    for find, plain, w, aimed in _finds(low, hits):
+        _, _, kind, term, quoted = find
+        # a misspelled term speaks as the term does; its edits are such as texts of label 0 bear
+        counts["quoted" if quoted else plain] += 1
+        counts["fuzzy"] += not quoted and kind == "fuzzy"
+        counts["aimed"] += aimed
+        if not quoted:
+            weight += max(0.0, w)
+            kinds.add(term)
+        finds.append(find)
     strong = counts["exact"] + counts["stem"]
-    return [*(math.log1p(v) for v in counts.values()), strong / (n + 20), math.log1p(len(kinds)), math.log1p(max(0.0, weight))], finds
+    return [*map(math.log1p, counts.values()), math.log1p(200 * strong / (n + 20)), math.log1p(len(kinds)), math.log1p(weight)], finds
+
+
+_NONE: tuple[list[float], list[Find]] = ([0.0] * len(FEATURES), [])
+
+
+def lower(text: str) -> str:
+    """In lower case, letter by letter, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
+
+
+def scan_all(texts: list[str | None], trie: Trie) -> Iterator[tuple[list[float], list[Find]]]:
+    """Features and finds of each text; the distinct words of a block of texts are looked up at once."""
+    at = 0
+    while at < len(texts):
+        block, size = [], 0
+        while at < len(texts) and (not block or size + len(texts[at] or "") <= BLOCK):
+            block.append(lower(texts[at] or ""))
+            size += len(block[-1])
+            at += 1
+        held = [_WORDS.findall(low) for low in block]
+        hits = trie.look_up(set().union(*held))
+        for low, words in zip(block, held, strict=True):
+            yield _NONE if hits.keys().isdisjoint(words) else _scan(low, len(words), hits)
+
+
+def scan(text: str | None, trie: Trie) -> tuple[list[float], list[Find]]:
+    return next(scan_all([text], trie))
 
 
 @dataclass(frozen=True)
@@ -209,6 +292,9 @@ class Model:
         return Trie({(t, s): w for t, s, w in self.terms}, edits)
 
     def probability(self, features: list[float]) -> float:
+        """The likelihood of label 1; at most 1/2 where nothing was found."""
+        if not any(features):
+            return 1 / (1 + math.exp(-max(-30.0, min(0.0, self.intercept))))
         z = self.intercept + sum(a * b for a, b in zip(self.coefficients, features, strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -218,44 +304,58 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches):
         keys = []
         for text in batch.column(0).to_pylist():
-            words = (text or "").lower().split()
+            words = lower(text or "").split()
             grams = map(" ".join, zip(words, words[1:], words[2:])) if len(words) > 2 else [" ".join(words)]
             keys.append(min(map(xxh3_64_intdigest, grams)) >> 1)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=["text", "label", "key"])
 
 
+def _times(text: str | None) -> Counter:
+    """How often each term of a text - a word of three letters or more, or its beginning - is in it."""
+    terms: Counter = Counter()
+    for word, n in Counter(_WORDS.findall(lower(text or ""))).items():
+        if len(word) >= 3:
+            terms[word, False] += n
+            for k in STEM_LENGTHS:
+                if len(word) > k:
+                    terms[word[:k], True] += n
+    return terms
+
+
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts of each label each term is, summed in the task."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """In how many texts of each label each term is once or more, and twice or more, summed in the task."""
+    counts: tuple[Counter, ...] = (Counter(), Counter(), Counter(), Counter())
 
     def rows() -> pa.RecordBatch:
-        keys = sorted(set(counts[0]) | set(counts[1]))
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], names=["term", "stem", "ones", "zeros"])
-        counts[0].clear(), counts[1].clear()
+        keys = sorted(set().union(*counts))
+        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), *(pa.array([c[k] for k in keys], pa.int64()) for c in counts)], names=["term", "stem", "zeros", "ones", "zeros2", "ones2"])
+        for c in counts:
+            c.clear()
         return out
 
     for batch in common.slices(batches):
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = {m for m in _WORDS.findall((text or "").lower()) if len(m) >= 3}
-            terms = {(w, False) for w in words} | {(w[:k], True) for w in words for k in STEM_LENGTHS if len(w) > k}
-            counts[label].update(terms)
-        if len(counts[0]) + len(counts[1]) > 500_000:
+            times = _times(text)
+            counts[label].update(times.keys())
+            counts[2 + label].update(t for t, n in times.items() if n > 1)
+        if sum(map(len, counts)) > 500_000:
             yield rows()
     yield rows()
 
 
 def _hold(terms: tuple[tuple[str, bool, float], ...]):
-    """Which of the terms each text holds."""
-    words = {t: i for i, (t, stem, _) in enumerate(terms) if not stem}
-    stems = {t: i for i, (t, stem, _) in enumerate(terms) if stem}
+    """Which of the terms each text holds, and which twice."""
+    place = {(t, stem): i for i, (t, stem, _) in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            rows = []
+            rows, twice = [], []
             for text in batch.column(0).to_pylist():
-                found = set(_WORDS.findall((text or "").lower()))
-                rows.append(sorted({words[w] for w in found if w in words} | {stems[w[:k]] for w in found for k in STEM_LENGTHS if len(w) > k and w[:k] in stems}))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["label", "held"])
+                times = _times(text)
+                held = sorted(place[t] for t in times.keys() & place.keys())
+                rows.append(held)
+                twice.append([i for i in held if times[terms[i][:2]] > 1])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, pa.list_(pa.int32())), pa.array(twice, pa.list_(pa.int32()))], names=["label", "held", "twice"])
 
     return run
 
@@ -272,15 +372,13 @@ def _count_near(terms: tuple[tuple[str, bool, float], ...]):
         trie = Trie({(t, s): w for t, s, w in terms}, {(t, s): _asked(t, s) for t, s, _ in terms})
         place = {(t, s): i for i, (t, s, _) in enumerate(terms)}
 
-        def look(word: str) -> list[tuple[int, int]]:
-            plain = "".join(DISGUISE.get(ch, ch) for ch in word)
-            return [] if trie._exact(word) or trie._exact(plain) else [(place[t, s], d) for d, t, s, _ in trie.near(plain)]
-
-        known, counts = _Found(look), Counter()
-        for batch in common.slices(batches):
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        counts: Counter = Counter()
+        for batch in common.slices(batches, 64):
+            held = [set(_WORDS.findall(lower(text or ""))) for text in batch.column(0).to_pylist()]
+            known = {w: [(place[t, s], d) for d, t, s, _ in found] for w, found in _near(trie, set().union(*held)).items()}
+            for words, label in zip(held, batch.column(1).to_pylist(), strict=True):
                 least: dict[int, int] = {}
-                for word in set(_WORDS.findall((text or "").lower())):
+                for word in words & known.keys():
                     for at, d in known[word]:
                         least[at] = min(d, least.get(at, d))
                 counts.update((at, d, label) for at, d in least.items())
@@ -291,11 +389,11 @@ def _count_near(terms: tuple[tuple[str, bool, float], ...]):
 
 
 def _bearable(terms: tuple[tuple[str, bool, float], ...], counts: dict[tuple[int, int, int], int], ones: int, zeros: int) -> tuple[int, ...]:
-    """The most edits at which a stem or a short term still marks label 1, or meets no text of label 0; longer words keep theirs."""
+    """The most edits at which a term still marks label 1, or meets no text of label 0."""
     out = []
     for at, (term, stem, _) in enumerate(terms):
         edits = _asked(term, stem)
-        while edits and (stem or edits > _edits(term)):
+        while edits:
             n1, n0 = (sum(counts.get((at, d, label), 0) for d in range(1, edits + 1)) for label in (1, 0))
             if not n0 or ((n1 + 0.5) / (ones + 1)) / ((n0 + 0.5) / (zeros + 1)) >= RATIO:
                 break
@@ -310,16 +408,17 @@ def _beside(chosen: tuple[tuple[str, bool, float], ...], terms: list[tuple[str,
     return tuple(sorted({*chosen, *(t for t in terms if not t[1] and any(t[0][:k] in stems for k in range(1, len(t[0]) + 1)))}))
 
 
-def _choose(terms: list[tuple[str, bool, float]], texts: list[tuple[int, list[int]]]) -> tuple[tuple[str, bool, float], ...]:
-    """Greedily the term with the most evidence in the texts of label 1 that the chosen ones do not cover yet.
+def _choose(terms: list[tuple[str, bool, float]], texts: list[tuple[int, list[int], list[int]]]) -> tuple[tuple[str, bool, float], ...]:
+    """Greedily the term with the most evidence, by being in a text once or twice, in the texts of label 1 that the chosen ones do not cover yet.
 
     Words that only come with others - those of a text that was copied often - thus stay out.
     """
-    ones, zeros = (sum(label == v for label, _ in texts) for v in (1, 0))
-    in_zeros, n1 = np.zeros(len(terms)), np.zeros(len(terms))
+    ones, zeros = (sum(t[0] == v for t in texts) for v in (1, 0))
+    n0, n1 = np.zeros((2, len(terms))), np.zeros((2, len(terms)))
     held_by: list[list[int]] = [[] for _ in terms]  # the texts of label 1 that hold a term
-    for i, (label, held) in enumerate(texts):
-        (n1 if label else in_zeros)[held] += 1
+    for i, (label, held, twice) in enumerate(texts):
+        for times, at in enumerate((held, twice)):
+            (n1 if label else n0)[times, at] += 1
         for at in held if label else ():
             held_by[at].append(i)
     covered, chosen = [0] * len(texts), []
@@ -327,9 +426,9 @@ def _choose(terms: list[tuple[str, bool, float]], texts: list[tuple[int, list[in
     share = ones / (ones + zeros)
     while len(terms):
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = n1 * np.log(n1 / ((n1 + in_zeros) * share)) + np.where(in_zeros > 0, in_zeros * np.log(in_zeros / ((n1 + in_zeros) * (1 - share))), 0.0)
-            ratio = ((n1 + 0.5) / (ones + 1)) / ((in_zeros + 0.5) / (zeros + 1))
-        gain = np.where(free & (n1 >= 3) & (ratio >= RATIO), gain, -1.0)
+            gain = n1 * np.log(n1 / ((n1 + n0) * share)) + np.where(n0 > 0, n0 * np.log(n0 / ((n1 + n0) * (1 - share))), 0.0)
+            ratio = ((n1 + 0.5) / (ones + 1)) / ((n0 + 0.5) / (zeros + 1))
+        gain = np.where(free & (n1 >= 3) & (ratio >= RATIO), gain, -1.0).max(axis=0)
         best = int(np.argmax(gain))
         if gain[best] < EVIDENCE:
             break
@@ -338,13 +437,15 @@ def _choose(terms: list[tuple[str, bool, float]], texts: list[tuple[int, list[in
         for i in held_by[best]:
             covered[i] += 1
             if covered[i] == COVER:
-                n1[texts[i][1]] -= 1
+                for times in (0, 1):
+                    n1[times, texts[i][1 + times]] -= 1
     return tuple(sorted(chosen))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps."""
-    a = np.c_[x, np.ones(len(x))]
+    """Ridge logistic regression by Newton steps, over features of one spread."""
+    spread = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
+    a = np.c_[x / spread, np.ones(len(x))]
     w = np.zeros(a.shape[1])
     penalty = np.full(a.shape[1], ridge)
     penalty[-1] = 1e-3
@@ -354,7 +455,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray,
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w[:-1], float(w[-1])
+    return w[:-1] / spread, float(w[-1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -371,18 +472,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
-        return Model((), (0.0,) * len(FEATURES), math.log((ones + 0.5) / (zeros + 0.5)))
-    share = ones / (ones + zeros)
-    odds = F.log((F.col("ones") + 0.5) / F.lit(ones + 1.0)) - F.log((F.col("zeros") + 0.5) / F.lit(zeros + 1.0))
-    counted = sample.mapInArrow(_count_terms, "term string, stem boolean, ones long, zeros long").groupBy("term", "stem").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    held = F.col("ones") + F.col("zeros")
-    gain = F.col("ones") * F.log(F.col("ones") / (held * share)) + F.when(F.col("zeros") > 0, F.col("zeros") * F.log(F.col("zeros") / (held * (1 - share)))).otherwise(0.0)
-    counted = counted.where("ones >= 3").withColumn("odds", odds).withColumn("gain", gain)
-    top = counted.where((F.col("gain") >= EVIDENCE) & (F.col("odds") >= math.log(RATIO))).orderBy(F.desc("gain"), "stem", "term").collect()  # terms of at most 2 * sample_rows texts
+        return Model((), (0.0,) * len(FEATURES), math.log((ones + 0.5) / (zeros + 0.5)))  # nothing is found, so at most 1/2
+    counted = sample.mapInArrow(_count_terms, "term string, stem boolean, zeros long, ones long, zeros2 long, ones2 long").groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "zeros2", "ones2")))
+
+    def evidence(n1: Column, n0: Column) -> Column:
+        share = ones / (ones + zeros)
+        gain = n1 * F.log(n1 / ((n1 + n0) * share)) + F.when(n0 > 0, n0 * F.log(n0 / ((n1 + n0) * (1 - share)))).otherwise(0.0)
+        odds = F.log((n1 + 0.5) / (ones + 1.0)) - F.log((n0 + 0.5) / (zeros + 1.0))
+        return F.when((n1 >= 3) & (odds >= math.log(RATIO)), F.struct(gain.alias("gain"), odds.alias("odds")))
+
+    # a term speaks by being in a text, or by being in it twice
+    best = F.greatest(evidence(F.col("ones"), F.col("zeros")), evidence(F.col("ones2"), F.col("zeros2")))
+    top = counted.where("ones >= 3").withColumn("best", best).where(F.col("best.gain") >= EVIDENCE).orderBy(F.desc("best.gain"), "stem", "term").select("term", "stem", "best.odds").collect()  # terms of at most 2 * sample_rows texts
     strong = [(r["term"], r["stem"], float(r["odds"])) for r in top]
     candidates = _prune(strong)
-    held = sample.mapInArrow(_hold(tuple(candidates)), "label int, held array<int>").collect()  # at most 2 * sample_rows short rows
-    trie_terms = _beside(_choose(candidates, [(r["label"], r["held"]) for r in held]), strong)
+    held = sample.mapInArrow(_hold(tuple(candidates)), "label int, held array<int>, twice array<int>").collect()  # at most 2 * sample_rows short rows
+    trie_terms = _beside(_choose(candidates, [(r["label"], r["held"], r["twice"]) for r in held]), strong)
     near_counts = sample.mapInArrow(_count_near(trie_terms), "at int, edits int, label int, n long").groupBy("at", "edits", "label").agg(F.sum("n").alias("n")).collect()  # at most four rows a term
     edits = _bearable(trie_terms, {(r["at"], r["edits"], r["label"]): r["n"] for r in near_counts}, ones, zeros)
     model = Model(trie_terms, (0.0,) * len(FEATURES), 0.0, edits)
@@ -390,13 +495,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = model.trie()
         for batch in common.slices(batches):
-            rows = [scan(t, trie)[0] for t in batch.column(0).to_pylist()]
+            rows = [x for x, _ in scan_all(batch.column(0).to_pylist(), trie)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
     got = sample.mapInArrow(features, "x array<double>, label int").collect()  # at most 2 * sample_rows short rows
     got.sort(key=lambda r: (r["label"], r["x"]))  # sums in one order
     x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got], float)
-    w, b = _fit(x, y)
+    # a find never speaks against label 1: features that would are left out, the worst first
+    used = list(range(len(FEATURES)))
+    while True:
+        w, b = np.zeros(len(FEATURES)), 0.0
+        w[used], b = _fit(x[:, used], y)
+        spread = x.std(axis=0) * w
+        worst = min((i for i in used if FEATURES[i] != "quoted"), key=lambda i: spread[i])
+        if spread[worst] >= 0:
+            break
+        used.remove(worst)
     common.unstage(sample)
     return Model(trie_terms, tuple(float(v) for v in w), b, edits)
 
@@ -431,7 +545,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         model = shared.value
         trie = model.trie()
         for batch in common.slices(batches):
-            found = [scan(t, trie) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            found = list(scan_all(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), trie))
             columns = [*batch.columns, pa.array([model.probability(f[0]) for f in found], pa.float64())]
             if finds_col:
                 columns.append(pa.array([[dict(zip(("start", "end", "kind", "term", "quoted"), x, strict=True)) for x in f[1]] for f in found], kind))
