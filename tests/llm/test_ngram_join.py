@@ -64,6 +64,22 @@ def test_components(spark, k, num, den, seed):
     assert sorted(map(tuple, out.collect()), key=str) == brute(rows, k, num, den)
 
 
+def test_runs_dealt_over_tasks(spark, monkeypatch):
+    # every shingle of more than two rows is dealt over parts
+    monkeypatch.setattr(ngram_join, "RUN", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 100)
+    rows = corpus(5)
+    out = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=4, num=85, den=100)
+    assert sorted(map(tuple, out.collect()), key=str) == brute(rows, 4, 85, 100)
+
+
+def test_texts_under_one_id_link_on_their_own(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (7, b + " end"), (3, "start " + a)]
+    out = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, num=85, den=100)
+    assert sorted(map(tuple, out.collect())) == brute(rows, 4, 85, 100) == [(3, 58, 3), (5, 57, 3), (5, 57, 5), (7, 58, 5)]
+
+
 def test_whole_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 400").collect()]
     out = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, num=85, den=100)

@@ -5,17 +5,19 @@ distinct ``k``-word shingles, and gives every row the smallest id it reaches by
 
 1. One scan gives every row a 128-bit digest of its word sequence and its set size, and a sketch of
    how many rows hold each shingle (2**20 counters of all shingles of all rows, summed over tasks).
-   Rows of one digest are copies: they share a node, the smallest id among them.
+   Rows of one digest are copies: they share a node.
 2. A second scan orders each set from rare to common by the sketch and emits its prefix
    (``n - ceil(t n) + 1`` shingles): similar sets share a shingle there, whatever the order.
-3. Rows are met by shingle.  In a run, sorted by how many shingles a row shares, the first few rows - the
+3. Rows are met by shingle.  A shingle that the sketch takes for frequent is dealt over several tasks, about
+   ``RUN`` rows each, by the digests; the places in its run go on from task to task, and its few pivots are sent to
+   all of them.  In a run, sorted by how many shingles a row shares, the first few rows - the
    ones with the fewest shingles of their own - are pivots; a pivot is paired with the rows after it
    that pass the size and position bounds and are not yet in its component.  Later rounds take
    eight times as many pivots from the runs that still span components, until none is left.  Thus a
    group of near copies costs a star, not all its pairs, and no pair between components is skipped.
 4. A pair whose 1024-bit parity signatures differ in more bits than the sets may differ in elements
    is out: the sets of such pairs, which share a shingle by chance, are never fetched.
-5. A pivot and a block of at most about ``BLOCK`` partners are searched with DivideSkip: the long
+5. A pivot and a block of at most about ``BLOCK`` partners and ``BLOCK_SHINGLES`` shingles are searched with DivideSkip: the long
    inverted lists are set aside, the short ones heap-merged with skips, and what the heap yields is
    probed in the long ones by binary search.  A count that reaches the required overlap is the exact
    size of the intersection.
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from xxhash import xxh3_64_intdigest
 
@@ -51,7 +53,11 @@ FIRST_PIVOTS = 1
 GROWTH = 8
 #: Pivots of a run that a task holds at once.
 MOST_PIVOTS = 4096
-NUMBERED = "token long, pos int, n int, node long, place int"
+#: Rows of a shingle, by the sketch, that one task takes; those of a more frequent one are dealt over tasks.
+RUN = 256
+#: Shingles of all sets that a block of partners holds at most, unless it is a single set.
+BLOCK_SHINGLES = 500_000
+NUMBERED = "token long, part int, pos int, n int, node long, place int"
 #: Rows up to which a list of node ids (8 bytes each) is broadcast to filter a scan; above, a join filters it.
 BROADCAST_IDS = 100_000
 #: DivideSkip's weight of a probe against a merge step.
@@ -178,12 +184,12 @@ def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in levels], pa.int32()), pa.array([x[1] for x in levels], pa.binary())], names=["chunk", "levels"])
 
 
-def _prefix_scan(k: int, num: int, den: int, levels_of):
+def _prefix_scan(k: int, num: int, den: int, levels_of, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, levels = set(), np.frombuffer(levels_of.value, np.uint8)
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in common.slices(batches, 1024):
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for words in word_hashes(batch.column(0)):
                 if not len(words) or (d := sequence_digest(words)) in seen:
                     continue
@@ -197,18 +203,21 @@ def _prefix_scan(k: int, num: int, den: int, levels_of):
                 order = np.argsort(level, kind="stable")[:p]  # s is sorted: ties go by hash
                 keep = np.flatnonzero(level[order] > 1)  # a count of 1 is this row's own
                 out[0].append(s[order[keep]].view(np.int64))
+                # part 0: a rare shingle, all of it; else one of the parts that its count asks for, from 1
+                parts = np.maximum(np.ceil(2.0 ** ((level[order[keep]].astype(float) - 1) / 2) / most), 1).astype(np.int64)
+                out[5].append(np.where(parts > 1, (d[0] >> 1) % parts + 1, 0).astype(np.int32))
                 out[1].append(keep.astype(np.int32))
                 for i, v, t in ((2, n, np.int32), (3, d[0], np.int64), (4, d[1], np.int64)):
                     out[i].append(np.full(len(keep), v, t))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "pos", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "pos", "n", "d1", "d2", "part"])
 
     return run
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and digest, those whose token has another digest; copies once."""
-    names = ["token", "pos", "n", "d1", "d2"]
+    """Of rows sorted by token, part and digest, those whose token has another digest, or has parts; copies once."""
+    names = ["token", "pos", "n", "d1", "d2", "part"]
     last: list[np.ndarray] | None = None  # the last distinct row, and whether its token came before
     met = False
 
@@ -221,54 +230,71 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = _arrays(batch, *names)
         if last is not None:
             cols = [np.concatenate([a, b]) for a, b in zip(last, cols, strict=True)]
-        token, d1, d2 = cols[0], cols[3], cols[4]
+        token, d1, d2, part = cols[0], cols[3], cols[4], cols[5]
         fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+        fresh[1:] = (token[1:] != token[:-1]) | (part[1:] != part[:-1]) | (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
         cols = [c[fresh] for c in cols]
         token = cols[0]
         same = token[1:] == token[:-1]
-        keep = np.zeros(len(token), bool)
+        keep = cols[5] > 0
         keep[1:] |= same
         keep[:-1] |= same
         keep[0] |= met and last is not None
         last = [c[-1:] for c in cols]
-        met = bool(keep[-1]) if len(token) > 1 else bool(keep[0])
+        met = bool(keep[-1])
         keep[-1] = False
         yield emit(cols, keep)
     if last is not None and met:
         yield emit(last, np.ones(1, bool))
 
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a row's keys are unlike the row's before."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(fresh)
+
+
 def _number_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds each row's place in its run."""
+    """Adds each row's place in its part of its run."""
     last, at = None, 0
     for batch in batches:
-        (token,) = _arrays(batch, "token")
+        token, part = _arrays(batch, "token", "part")
         if not len(token):
             continue
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        starts = _starts(token, part)
         place = np.arange(len(token)) - np.repeat(starts, np.diff(np.r_[starts, len(token)]))
-        if token[0] == last:
+        if (token[0], part[0]) == last:
             place[: starts[1] if len(starts) > 1 else None] += at
-        last, at = token[-1], int(place[-1]) + 1
+        last, at = (token[-1], part[-1]), int(place[-1]) + 1
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place.astype(np.int32))], names=[*batch.schema.names, "place"])
 
 
+def _run_on(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places that go on over the parts of a run, and ``(token, part, before)`` of the parts: the rows in the parts before."""
+    sizes = numbered.where("part > 0").groupBy("token", "part").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    order = Window.partitionBy("token").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    parts = common.stage(sizes.select("token", "part", F.coalesce(F.sum("size").over(order), F.lit(0)).cast("int").alias("before")), "ngram-parts")
+    whole = numbered.where("part = 0")
+    dealt = numbered.where("part > 0").join(parts, ["token", "part"]).withColumn("place", (F.col("place") + F.col("before")).cast("int")).select(numbered.columns)
+    return whole.union(dealt), parts
+
+
 def _emit_pairs(low: int, high: int, num: int, den: int):
-    """Pairs (pivot, later row of the run) for the pivots at places low to high - 1."""
+    """Pairs (pivot, later row of the run) for the pivots at places low to high - 1, which come first in each part of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 6), np.int64)  # the pivots of the run that the last batch left open
+        held = np.empty((0, 7), np.int64)  # the pivots of the run that the last batch left open
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([c.astype(np.int64) for c in _arrays(batch, "token", "place", "n", "pos", "node", "comp")], axis=1)
-            if len(held) and held[0, 0] != rows[0, 0]:
+            rows = np.stack([c.astype(np.int64) for c in _arrays(batch, "token", "place", "n", "pos", "node", "comp", "part")], axis=1)
+            if len(held) and (held[0, 0], held[0, 6]) != (rows[0, 0], rows[0, 6]):
                 held = held[:0]
             ghosts = len(held)
             rows = np.concatenate([held, rows])
-            token, place, n, pos, node, comp = rows.T
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            token, place, n, pos, node, comp, part = rows.T
+            starts = _starts(token, part)
             counts = np.diff(np.r_[starts, len(rows)])
             start, end = np.repeat(starts, counts), np.repeat(starts + counts, counts)
             a, b = [], []
@@ -295,7 +321,7 @@ def _near_signatures(num: int, den: int):
             a, b = (np.frombuffer(b"".join(c), np.uint8).reshape(len(p), -1) for c in _columns(batch, "sp", "sx"))
             apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
             keep = apart <= np_ + nx - 2 * -(-num * (np_ + nx) // (num + den))
-            yield pa.RecordBatch.from_arrays([pa.array(p[keep]), pa.array(x[keep])], names=["p", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(p[keep]), pa.array(x[keep]), pa.array(nx[keep])], names=["p", "x", "nx"])
 
     return run
 
@@ -391,8 +417,8 @@ def _set_scan(k: int):
     return run
 
 
-def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """``(classes, links)``: every row's ``(id, d1, d2, n)`` with its digest, and links ``(a, b)`` between nodes that suffice for the components."""
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """Every row's ``(id, th, d1, d2, n, sig)``, the digests' ``(d1, d2, id, node)`` with their smallest ids, links ``(a, b)`` between nodes that suffice for the components, and the nodes' ``(id, comp)``."""
     spark = docs.sparkSession
     parts = common.shuffle_partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -405,20 +431,22 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for r in sketch:
         levels[r["chunk"] * size : (r["chunk"] + 1) * size] = r["levels"]
     shared = spark.sparkContext.broadcast(bytes(levels))
-    reps = common.stage(rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("node")), "ngram-reps")
+    reps = common.stage(rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "ngram-reps")
 
-    row = "token long, pos int, n int, d1 long, d2 long"
-    prefixes = source.where("id is not null").select("text").mapInArrow(_prefix_scan(k, num, den, shared), row)
-    runs = prefixes.repartition(parts, "token").sortWithinPartitions("token", "d1", "d2").mapInArrow(_shared_only, row)
+    row = "token long, pos int, n int, d1 long, d2 long, part int"
+    prefixes = source.where("id is not null").select("text").mapInArrow(_prefix_scan(k, num, den, shared, RUN), row)
+    runs = prefixes.repartition(parts, "token", "part").sortWithinPartitions("token", "part", "d1", "d2").mapInArrow(_shared_only, row)
     runs = common.stage(runs, "ngram-shared")
-    named = common.stage(runs.join(reps, ["d1", "d2"]).drop("d1", "d2"), "ngram-named")
+    named = common.stage(runs.join(reps.drop("id"), ["d1", "d2"]).drop("d1", "d2"), "ngram-named")
     common.unstage(runs)
     shared_by = named.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
     central = named.join(shared_by, "node")
-    numbered = common.stage(central.repartition(parts, "token").sortWithinPartitions("token", F.desc("shared"), "node").select("token", "pos", "n", "node").mapInArrow(_number_runs, NUMBERED), "ngram-runs")
+    central = central.repartition(parts, "token", "part").sortWithinPartitions("token", "part", F.desc("shared"), "node").select("token", "part", "pos", "n", "node")
+    placed = common.stage(central.mapInArrow(_number_runs, NUMBERED), "ngram-runs")
     common.unstage(named)
+    numbered, run_parts = _run_on(placed)
     longest = numbered.agg(F.max("place")).first()[0]
-    nodes = reps.select("node", "d1", "d2")
+    nodes = reps.select("node", "id", "d1", "d2")
 
     links, comps, low, high = None, None, 0, FIRST_PIVOTS
     while longest is not None and low < longest:
@@ -426,22 +454,27 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if low:
             open_runs = now.groupBy("token").agg(F.max("place").alias("last"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("last") > low) & (F.col("lo") < F.col("hi"))).select("token")
             now = now.join(open_runs, "token", "left_semi")
-        pairs = now.repartition(parts, "token").sortWithinPartitions("token", "place").mapInArrow(_emit_pairs(low, high, num, den), "p long, x long")
+        now = now.select("token", "part", "place", "n", "pos", "node", "comp")
+        pivots = now.where((F.col("part") > 0) & (F.col("place") >= low) & (F.col("place") < high))
+        # the pivots of a dealt run go to the parts behind them
+        sent = pivots.join(run_parts.select("token", F.col("part").alias("to")), "token").where("to > part").withColumn("part", F.col("to")).select(now.columns)
+        pairs = now.union(sent).repartition(parts, "token", "part").sortWithinPartitions("token", "part", "place").mapInArrow(_emit_pairs(low, high, num, den), "p long, x long")
         pairs = common.stage(pairs.distinct(), "ngram-pairs")
         ends = pairs.select(F.col("p").alias("node")).union(pairs.select(F.col("x").alias("node"))).distinct().join(nodes, "node")
-        signed = rows.withColumnRenamed("id", "node").join(ends, ["node", "d1", "d2"]).dropDuplicates(["node"]).select("node", "n", "sig")
+        signed = rows.join(ends, ["id", "d1", "d2"]).dropDuplicates(["node"]).select("node", "n", "sig")
         signed = common.stage(signed, "ngram-signatures")
         both_ends = pairs.join(signed.toDF("p", "np", "sp"), "p").join(signed.toDF("x", "nx", "sx"), "x")
-        near = common.stage(both_ends.mapInArrow(_near_signatures(num, den), "p long, x long"), "ngram-near")
+        near = common.stage(both_ends.mapInArrow(_near_signatures(num, den), "p long, x long, nx long"), "ngram-near")
         common.unstage(pairs)
         common.unstage(signed)
         pairs = near
-        per_pivot = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        per_pivot = pairs.groupBy("p").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("nx") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         needed = pairs.select(F.col("p").alias("node")).union(pairs.select(F.col("x").alias("node"))).distinct().join(nodes, "node")
         needed = common.stage(needed, "ngram-needed")
         if n_needed := needed.count():
-            right = F.broadcast(needed) if n_needed <= BROADCAST_IDS else needed
-            sets = source.join(right, source["id"] == right["node"]).select("node", "text", "d1", "d2").mapInArrow(_set_scan(k), "node long, grams binary")
+            right = needed.withColumnRenamed("id", "held_by")
+            right = F.broadcast(right) if n_needed <= BROADCAST_IDS else right
+            sets = source.join(right, source["id"] == right["held_by"]).select("node", "text", "d1", "d2").mapInArrow(_set_scan(k), "node long, grams binary")
             sets = common.stage(sets, "ngram-sets")
             blocks = pairs.join(per_pivot.select("p", "blocks"), "p").select("p", "x", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"))
             members = blocks.join(sets.withColumnRenamed("node", "x"), "x").select("p", "block", "x", "grams")
@@ -455,15 +488,20 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         common.unstage(pairs)
         common.unstage(needed)
         low, high = high, min(high * GROWTH, high + MOST_PIVOTS)
+    common.unstage(placed)
+    common.unstage(run_parts)
     return rows, reps, links, comps
 
 
 def _with_components(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """``id, th, n, component_id`` for every row; ``th`` is a hash of the text."""
     rows, reps, links, comps = similar_links(docs, id_col, text_col, k, num, den)
+    classes = reps.select("d1", "d2", F.col("id").alias("node"))
     if comps is not None:
-        reps = reps.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("node", F.coalesce("comp", "node"))
-    classes = reps.select("d1", "d2", "node")
+        linked = reps.join(comps.withColumnRenamed("id", "node"), "node")
+        least = linked.groupBy("comp").agg(F.min("id").alias("least"))
+        named = comps.join(least, "comp").select(F.col("id").alias("node"), "least")
+        classes = reps.join(named, "node", "left").select("d1", "d2", F.coalesce("least", "id").alias("node"))
     linked = rows.where("d1 is not null and id is not null").join(classes, ["d1", "d2"]).select("id", "th", "n", F.col("node").alias("component_id"))
     return linked.union(rows.where("d1 is null or id is null").select("id", "th", "n", F.col("id").alias("component_id")))
 
