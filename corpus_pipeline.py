@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with private data under format-preserving pseudonyms."""
     common.ship(spark)
-    return feistel.pseudonymize(docs, queries.KEY)
+    return feistel.pseudonymize(docs, queries.pseudonym_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,3 +291,52 @@ def test_pseudonyms_of_tables(spark, docs, texts, empty):
     back = feistel.pseudonymize(feistel.pseudonymize(docs, b"key"), b"key", undo=True)
     assert sorted((r.text or "" for r in back.collect())) == sorted((t[1] or "" for t in texts))
     assert feistel.pseudonymize(empty, b"key").collect() == []
+
+
+def test_permutation_is_a_feistel_network():
+    import hashlib
+
+    # written anew: rounds over a grid of a rows and b columns, values outside the range walk on
+    def plain(value, size, key, tweak):
+        a = next(x for x in range(1, size + 1) if x * x >= size) if size < 100 else None
+        rows = 1
+        while rows * rows < size:
+            rows = rows * 2 if rows * rows * 4 <= size else rows + max(1, rows // 16)
+        assert a is None or rows >= a
+        columns = (size + rows - 1) // rows
+        while True:
+            y, x = value // columns, value % columns
+            for r in range(feistel.ROUNDS):
+                other, n = (y, columns) if r % 2 else (x, rows)
+                f = int.from_bytes(hashlib.blake2b(f"{r}|{other}|{n}|".encode() + tweak, digest_size=16, key=key).digest(), "big")
+                if r % 2:
+                    x = (x + f) % n
+                else:
+                    y = (y + f) % n
+            value = y * columns + x
+            if value < size:
+                return value
+
+    for n in (2, 3, 50, 99, 4097, 10**9, 898 * 99 * 9999):
+        for v in {0, 1, n // 3, n - 1}:
+            assert feistel.permute(v, n, b"k", b"t") == plain(v, n, b"k", b"t")
+    # the pseudonym of a social security number is the permuted place among all valid ones
+    place = plain((122 * 99 + 44) * 9999 + 6788, 898 * 99 * 9999, b"k", b"ssn")
+    area, rest = divmod(place, 99 * 9999)
+    area += 1 + (area >= 665)
+    assert feistel.ssn("123-45-6789", b"k", False) == f"{area:03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}"
+
+
+def test_late_dates_are_permuted_among_themselves():
+    days = [f"{d:02d}/{m:02d}/1999" for m in range(1, 13) for d in range(13, 29)]
+    new = [feistel.day_first_date(d, b"key", False) for d in days]
+    assert len(set(new)) == len(days) and all(int(n[:2]) > 12 for n in new)
+    assert [feistel.day_first_date(n, b"key", True) for n in new] == days
+
+
+def test_pseudonym_key(spark):
+    spark.conf.set(queries.KEY_SETTING, "a key of this session")
+    assert queries.pseudonym_key(spark) == b"a key of this session"
+    spark.conf.unset(queries.KEY_SETTING)
+    with pytest.warns(UserWarning, match="can be undone"):
+        queries.pseudonym_key(spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,11 @@ SLICE_ROWS = 256
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset and the master is local."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="wavelode-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return f"{conf.rstrip('/')}/wavelode"

@@ -19,7 +19,9 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -215,6 +217,12 @@ def iso_date(text: str, key: bytes, undo: bool) -> str | None:
     return new and f"{new.year:04d}{sep}{new.month:02d}{sep}{new.day:02d}"
 
 
+@cache
+def _late_days() -> list[int]:
+    """The days after a month's twelfth."""
+    return [n for n in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(n).day > 12]
+
+
 def day_first_date(text: str, key: bytes, undo: bool) -> str | None:
     sep = text[2]
     a, b, y = int(text[:2]), int(text[3:5]), int(text[6:])
@@ -223,13 +231,11 @@ def day_first_date(text: str, key: bytes, undo: bool) -> str | None:
     new = _day(y, a, b, key, undo) if month_first else _day(y, b, a, key, undo)
     if new is None:
         return None
+    if sep == "/" and not month_first:  # day/month with a day over 12 stays so, that it is read alike
+        late = _late_days()
+        at = bisect_left(late, datetime.date(y, b, a).toordinal())
+        new = datetime.date.fromordinal(late[permute(at, len(late), key, b"late date", undo)])
     m, d = new.month, new.day
-    if not month_first and sep == "/":
-        for _ in range(10_000):  # day/month with a day over 12 stays so, that it is read alike
-            if d > 12:
-                break
-            new = _day(new.year, m, d, key, undo)
-            m, d = new.month, new.day
     return f"{m:02d}{sep}{d:02d}{sep}{new.year:04d}" if month_first else f"{d:02d}{sep}{m:02d}{sep}{new.year:04d}"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -45,13 +46,21 @@ def op7_byte_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-#: The queries' key; a deployment passes its own to the operator.
-KEY = b"wavelode-query-key"
+#: Setting of the session that holds the key of pseudonyms, and the key of a session without it, for trials alone.
+KEY_SETTING, TRIAL_KEY = "spark.wavelode.pseudonym.key", "wavelode-trial-key"
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The session's key.  Without one a known key serves, whose pseudonyms anyone can undo: a warning says so."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms under the trial key can be undone by anyone", stacklevel=2)
+    return (key or TRIAL_KEY).encode()
 
 
 def op8_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = feistel.pseudonymize(docs, KEY, spans_col="spans")
+    out = feistel.pseudonymize(docs, pseudonym_key(spark), spans_col="spans")
     return out.select("doc_id", "text", F.size("spans").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",").alias("kinds"))
 
 
