@@ -55,12 +55,37 @@ def test_threshold_stops_early():
     x = np.floor(rng.pareto(1.0, (4000, 4)) * 10)
     lists = topk_search.Lists(x)
     ids = np.arange(4000)
-    places, scores = lists.search(x[0], 5, ids, ids, 0)
+    ((places, scores),) = lists.search(x[:1], 5, ids, ids, ids[:1])
     assert lists.read < 2000
     full = sorted((-float(v), i) for i, v in enumerate(x @ x[0]) if i)[:5]
     assert list(zip(-scores, places)) == full
 
 
+def test_thresholds_of_correlated_vectors():
+    # 64 dimensions that are mixtures of few: along the axes the lists stop
+    rng = np.random.default_rng(4)
+    x = np.floor((rng.normal(size=(6000, 64)) * 0.5 ** np.arange(64)) @ np.linalg.qr(rng.normal(size=(64, 64)))[0] * 5000)
+    ids = np.arange(6000)
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    for promised in (None, np.full(20, -1e5)):
+        lists = topk_search.Lists(x, axes)
+        for q, (places, scores) in enumerate(lists.search(x[:20], 5, ids, ids, ids[:20], promised)):
+            full = sorted((-float(v), i) for i, v in enumerate(x @ x[q]) if i != q)[:5]
+            assert list(zip(-scores, places)) == full
+        assert lists.read < 0.35 * 20 * 6000
+
+
+def test_components_read_of_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()
+    x = np.floor(256 * np.array([r[0] for r in rows], float))
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 50)
+    lists = topk_search.Lists(x, np.linalg.eigh(x.T @ x)[1][:, ::-1])
+    for q, (places, scores) in zip(asked, lists.search(x[asked], 5, ids, ids, asked)):
+        assert list(zip(-scores, places)) == sorted((-float(v), i) for i, v in enumerate(x @ x[q]) if i != q)[:5]
+    # these spread alike in all directions: no list stops, but most rows are left after the first axes
+    assert lists.read < 0.6 * len(asked) * len(x)
+
+
 def test_topk_sql(spark, sf, duck):
     same(queries.op1_threshold_topk(spark, sf), duck.sql(queries.oracle_sql()["op1_threshold_topk"]))
 
@@ -164,7 +189,7 @@ def test_automaton_meets_stems_short_terms_and_long_words():
                 w[i : i + rng.randrange(2)] = rng.choice(["", "c", "t", "xy"])
             words.append("".join(w))
     for w in set(words):
-        got = {(t, stem): d for d, t, stem, _ in trie.near(w)}
+        got = {(t, stem): d for d, t, stem, _ in trie.near([w]).get(0, [])}
         for (t, stem), bound in trie.bound.items():
             d = min(distance(t, w[:k]) for k in range(min(len(w), len(t) + 3) + 1)) if stem else distance(t, w) if abs(len(t) - len(w)) < 4 else 9
             assert got.get((t, stem)) == (d if 0 < d <= bound else None), (w, t)

@@ -4,9 +4,8 @@ Learning (``learn``): from a bounded sample of the labelled rows given, terms -
 stems - that mark label 1 go into a lexicon with their log odds; then a logistic model is fitted on
 what the scan below counts in each text.
 
-Scoring (``score``): the distinct words of a block of texts are looked up at once.  Those that a count of
-their letters leaves in reach are walked through the trie together with the Levenshtein
-automaton of their letters, which yields exact terms, words that begin with a stem term, terms one edit
+Scoring (``score``): the distinct words of a block of texts are looked up at once.  The trie is walked
+together with the Levenshtein automata of all of them, which yields exact terms, words that begin with a stem term, terms one edit
 away (two for long ones), and words with a beginning as near to a stem, with common letter disguises
 (``1`` for ``i`` and so on) undone at no cost.  Stems and terms of four letters get as many edits as
 the texts of label 0 bear (``_bearable``), other words at most theirs; terms of three letters get none.
@@ -63,13 +62,6 @@ BLOCK = 1_000_000
 FEATURES = ("exact", "stem", "fuzzy", "quoted", "aimed", "rate", "kinds", "weight")
 
 
-def _letters(word: str) -> int:
-    mask = 0
-    for ch in word:
-        mask |= 1 << (ord(ch) & 63)
-    return mask
-
-
 Terms = dict[tuple[str, bool], float]
 #: How a word matches - ``exact``, ``stem`` or ``fuzzy`` - what it would be without edits, the term, and its weight.
 Hit = tuple[str, str, str, float]
@@ -80,26 +72,26 @@ def _edits(term: str) -> int:
 
 
 class Trie:
-    """Terms by letter; a node is ``[children, term at its end or None, stem that ends there or None, terms below as bits]``.
+    """Terms by letter; a node is ``[children, term at its end or None, stem that ends there or None, most edits of the terms below]``.
 
     ``edits`` says how far from a term a word, or from a stem a word's beginning, may be; else their lengths do.
+    The terms that bear edits also have a trie of their own.
     """
 
     def __init__(self, terms: Terms, edits: dict[tuple[str, bool], int] | None = None):
-        self.root: list = [{}, None, None, 0]
         self.bound = {t: _edits(t[0]) if edits is None else edits[t] for t in terms}
-        loose = [t for t in terms if self.bound[t]]
-        bits = {t: 1 << i for i, t in enumerate(loose)}
+        self.root: list = [{}, None, None, 0]
+        self.loose: list = [{}, None, None, 0]
         for (term, stem), weight in terms.items():
-            node = self.root
-            for ch in term:
-                node = node[0].setdefault(ch, [{}, None, None, 0])
-                node[3] |= bits.get((term, stem), 0)
-            node[2 if stem else 1] = (term, weight)
-        self.masks = np.array([_letters(t) for t, _ in loose], np.uint64)
-        self.sizes = np.array([len(t) for t, _ in loose], np.int64)
-        self.edits = np.array([self.bound[t] for t in loose], np.int64)
-        self.stems = np.array([stem for _, stem in loose], bool)
+            bound = self.bound[term, stem]
+            for node in (self.root, self.loose) if bound else (self.root,):
+                node[3] = max(node[3], bound)
+                for ch in term:
+                    node = node[0].setdefault(ch, [{}, None, None, 0])
+                    node[3] = max(node[3], bound)
+                node[2 if stem else 1] = (term, weight)
+        #: Letters of a word that its distances may depend on.
+        self.width = max((len(t) + e for (t, _), e in self.bound.items() if e), default=0)
         self.begun = {t[:2] for t, _ in terms}
 
     def _exact(self, word: str) -> tuple[str, str, float] | None:
@@ -117,86 +109,63 @@ class Trie:
         found, rest = {}, []
         for word in words:
             hit = self._exact(word) if word[:2] in self.begun else None
-            plain = word.translate(_PLAINER)
+            plain = word if word.isalpha() else word.translate(_PLAINER)
             if hit:
                 found[word] = (hit[0], *hit)
             elif plain != word and plain[:2] in self.begun and (hit := self._exact(plain)):
                 found[word] = ("fuzzy", *hit)
             else:
                 rest.append((word, plain))
-        for (word, plain), reached in zip(rest, self.reached([p for _, p in rest]), strict=True):
-            if reached and (near := self.near(plain, reached)):
-                best = min(near)
-                found[word] = ("fuzzy", "stem" if best[2] else "exact", best[1], best[3])
+        for at, near in self.near([p for _, p in rest]).items():
+            best = min(near)
+            found[rest[at][0]] = ("fuzzy", "stem" if best[2] else "exact", best[1], best[3])
         return found
 
-    def reached(self, words: list[str]) -> list[int]:
-        """The terms, as bits, that each word's letters leave in reach of their edits.
+    def near(self, words: list[str]) -> dict[int, list[tuple[int, str, bool, float]]]:
+        """``(distance, term, stem, weight)`` of all terms within their edits, by the place of the word.
 
-        An edit changes at most two letters of the set and one of the length.  A stem's letters are among those of
-        the word's longest beginning but one for each edit, and the shortest beginning's among its own.
+        Walks the trie with the states of all words' Levenshtein automata: a row of distances for each word and node,
+        the distances of the letters so far from the word's beginnings.  Where no distance is within the edits of a
+        term below, the word's automaton has died and the word goes no further.
         """
-        out = [0] * len(words)
-        if not words or not len(self.sizes):
-            return out
+        found: dict[int, list[tuple[int, str, bool, float]]] = {}
+        if not words or not self.width:
+            return found
+        width = self.width
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        bits = np.uint64(1) << (np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32) & 63).astype(np.uint64)
-        ends = np.cumsum(sizes)
-        masks = np.bitwise_or.reduceat(bits, ends - sizes)
-        begun = np.zeros((len(words), int((self.sizes + self.edits).max()) + 1), np.uint64)
-        at = np.arange(len(bits)) - np.repeat(ends - sizes, sizes)
-        inside = at < begun.shape[1] - 1
-        begun[np.repeat(np.arange(len(words)), sizes)[inside], at[inside] + 1] = bits[inside]
-        begun = np.bitwise_or.accumulate(begun, axis=1)
-        for i, (mask, size, edits, stem) in enumerate(zip(self.masks, self.sizes.tolist(), self.edits.tolist(), self.stems.tolist(), strict=True)):
-            if stem:
-                close = (sizes >= size - edits) & (np.bitwise_count(mask & ~begun[:, size + edits]) <= edits) & (np.bitwise_count(begun[:, max(0, size - edits)] & ~mask) <= edits)
-            else:
-                close = (np.abs(sizes - size) <= edits) & (np.bitwise_count(masks ^ mask) <= 2 * edits)
-            for j in np.flatnonzero(close).tolist():
-                out[j] |= 1 << i
-        return out
-
-    def near(self, plain: str, wanted: int | None = None) -> list[tuple[int, str, bool, float]]:
-        """``(distance, term, stem, weight)`` of the ``wanted`` terms (bits; else those in reach) within their edits.
-
-        Walks the trie with the states of the word's Levenshtein automaton: a row of distances per node.
-        """
-        wanted = self.reached([plain])[0] if wanted is None else wanted
-        close = [i for i in range(wanted.bit_length()) if wanted >> i & 1]
-        if not close:
-            return []
-        limit = int(self.edits[close].max())
-        # no term that is wanted looks further into the word than this
-        whole = len(plain)
-        plain = plain[: int((self.sizes + self.edits)[close].max())]
-        size = len(plain)
-        found = []
-        stack = [(self.root, tuple(range(size + 1)))]
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # a word that is longer is no nearer to a whole term than its first letters and one more
+        letters = np.zeros((width + 1, len(words)), np.uint32)
+        inside = at <= width
+        letters[at[inside], np.repeat(np.arange(len(words)), sizes)[inside]] = flat[inside]
+        sizes = np.minimum(sizes, width + 1)
+        first = np.repeat(np.arange(width + 2, dtype=np.uint8 if width < 200 else np.int32)[:, None], len(words), axis=1)
+        stack = [(self.loose, np.arange(len(words)), first)]
         while stack:
-            node, row = stack.pop()
-            if node[1] and whole == size and 0 < row[size] <= self.bound[node[1][0], False]:
-                found.append((row[size], node[1][0], False, node[1][1]))
-            if node[2] and 0 < (d := min(row)) <= self.bound[node[2][0], True]:
-                found.append((d, node[2][0], True, node[2][1]))
+            node, alive, rows = stack.pop()
+            for ends, stem in ((node[1], False), (node[2], True)):
+                if ends:
+                    d = rows.min(axis=0) if stem else rows[sizes[alive], np.arange(len(alive))]
+                    for i in np.flatnonzero((d > 0) & (d <= self.bound[ends[0], stem])).tolist():
+                        found.setdefault(int(alive[i]), []).append((int(d[i]), ends[0], stem, ends[1]))
+            here = letters[:, alive] if node[0] else letters
             for ch, child in node[0].items():
-                if not child[3] & wanted:
-                    continue
-                new, least = [row[0] + 1], row[0] + 1
-                for j in range(1, size + 1):
-                    d = row[j - 1] if plain[j - 1] == ch else 1 + min(row[j - 1], row[j], new[j - 1])
-                    new.append(d)
-                    if d < least:
-                        least = d
-                if least <= limit:  # the automaton has not died
-                    stack.append((child, tuple(new)))
+                new = np.empty_like(rows)
+                new[0] = rows[0] + 1
+                np.minimum(rows[:-1] + (here != ord(ch)), rows[1:] + 1, out=new[1:])
+                for j in range(1, width + 2):
+                    np.minimum(new[j], new[j - 1] + 1, out=new[j])
+                keep = new.min(axis=0) <= child[3]
+                if keep.any():
+                    stack.append((child, alive[keep], new[:, keep]))
         return found
 
 
 def _near(trie: Trie, words: Collection[str]) -> dict[str, list[tuple[int, str, bool, float]]]:
     """The terms near each word that is no match without an edit."""
     rest = [(w, p) for w in words if not trie._exact(w) and not trie._exact(p := w.translate(_PLAINER))]
-    return {w: trie.near(p, wanted) for (w, p), wanted in zip(rest, trie.reached([p for _, p in rest]), strict=True) if wanted}
+    return {rest[at][0]: near for at, near in trie.near([p for _, p in rest]).items()}
 
 
 Find = tuple[int, int, str, str, bool]
