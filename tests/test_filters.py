@@ -103,6 +103,41 @@ def test_tf_path():
 
 def test_reservoir():
     r = filters.Reservoir()
-    rng = np.random.default_rng(6)
-    given = [r.frame(1000, int(w), 4000) for w in rng.integers(200, 2500, 3000)]
-    assert abs(np.mean(given) - 1000) < 20 and min(given) >= 128
+    # rate 1000; alpha is 1/21, 1/22, 1/23: drift 4, then 4 + int(-104 / 22 + 4 / 22) = 0, then int(200 / 23) = 8
+    assert [r.frame(1000, w, g) for w, g in ((1100, 1088), (900, 896), (1200, 640))] == [0, 0, 5]
+    assert (r.reserve, r.drift, r.offset) == (0, 8, -8)
+    free = filters.Reservoir(constrained=False)
+    assert free.frame(1000, 5000, 64) == 0 and (free.count, free.drift) == (1, 0)
+
+
+def test_rotation_of_blocks():
+    # one block of eight: pairs at distance one, then at distance three (1 * 2 < 8, 2 * 3 < 8, 3 * 4 >= 8)
+    x = np.array([1.0, 0, 0, 0, 0, 0, 0, 0])
+    gain = 8 / (8 + 10 * 2)
+    c, s = np.cos(np.pi / 4 * gain**2), np.sin(np.pi / 4 * gain**2)
+
+    def pair(i, j, c, s):
+        m = np.eye(8)
+        m[i, i], m[i, j], m[j, i], m[j, j] = c, -s, s, c
+        return m
+
+    want = x
+    for d, cc, ss in ((1, c, -s), (3, s, -c)):
+        for i in [*range(8 - d), *range(8 - 2 * d - 1, -1, -1)]:
+            want = pair(i, i + d, cc, ss) @ want
+    assert np.allclose(filters.rotate(x, 2, 2), want)
+    rng = np.random.default_rng(3)
+    for n, blocks in ((8, 1), (16, 2), (48, 4), (176, 8), (6, 1), (12, 4)):
+        x = rng.normal(size=n)
+        y = filters.rotate(x, 2, 1, blocks=blocks)
+        assert np.isclose(x @ x, y @ y) and not np.allclose(x, y) and np.allclose(filters.rotate(y, 2, 1, inverse=True, blocks=blocks), x)
+        # blocks do not mix
+        one = filters.rotate(np.r_[x[: n // blocks], np.zeros(n - n // blocks)], 2, 1, blocks=blocks)
+        assert np.allclose(one[: n // blocks], y[: n // blocks]) and not one[n // blocks :].any()
+
+
+def test_stereo_unmix_ramp():
+    # weights go from 0 to 1 over four samples, the first of them still under the old weight
+    mid, side = np.full(8, 0.25), np.zeros(8)
+    left, right = filters.stereo_unmix(mid, side, (0.0, 1.0), (0.0, 0.0), 4)
+    assert np.allclose(left, 0.25 + 0.25 * np.array([0, 1, 2, 3, 4, 4]) / 4) and np.allclose(right, 0.25 - 0.25 * np.array([0, 1, 2, 3, 4, 4]) / 4)

@@ -65,6 +65,65 @@ def test_range_coder_round_trip():
         assert (back.tell(), back.range) == (tell, width)
 
 
+def test_pulse_index_order():
+    assert [pvq.vector(i, 2, 1) for i in range(4)] == [[1, 0], [0, 1], [0, -1], [-1, 0]]
+    assert [pvq.vector(i, 2, 2) for i in range(8)] == [[2, 0], [1, 1], [1, -1], [0, 2], [0, -2], [-2, 0], [-1, 1], [-1, -1]]
+    assert [pvq.vector(i, 3, 1) for i in range(6)] == [[1, 0, 0], [0, 1, 0], [0, 0, 1], [0, 0, -1], [0, -1, 0], [-1, 0, 0]]
+    # sizes by the recurrence V(n, k) = V(n - 1, k) + V(n, k - 1) + V(n - 1, k - 1)
+    for n in range(2, 9):
+        for k in range(1, 9):
+            assert pvq.count(n, k) == pvq.count(n - 1, k) + pvq.count(n, k - 1) + pvq.count(n - 1, k - 1)
+
+
+def test_soft_clip_by_samples():
+    # each sample in turn, in single precision: an excursion is bent whole; one from the frame's start gets a ramp lowered before its first sample
+    f = np.float32
+
+    def plain(x, curve):
+        x = [max(f(-2), min(f(2), f(v))) for v in x]
+        i = 0
+        while i < len(x) and x[i] * curve < 0:
+            x[i] += curve * x[i] * x[i]
+            i += 1
+        first, at = x[0], 0
+        while True:
+            over = [i for i in range(at, len(x)) if abs(x[i]) > 1]
+            if not over:
+                return x, f(0)
+            i = start = end = peak = over[0]
+            sign = x[i]
+            while start and sign * x[start - 1] >= 0:
+                start -= 1
+            while end < len(x) and sign * x[end] >= 0:
+                peak = end if abs(x[end]) > abs(x[peak]) else peak
+                end += 1
+            opened = start == 0 and sign * x[0] >= 0
+            top = abs(x[peak])
+            curve = (top - f(1)) / (top * top)
+            curve += curve * f(2.4e-7)
+            curve = -curve if sign > 0 else curve
+            for j in range(start, end):
+                x[j] += curve * x[j] * x[j]
+            if opened and peak >= 2:
+                offset = first - x[0]
+                step = offset / f(peak)
+                for j in range(at, peak):
+                    offset -= step
+                    x[j] = max(f(-1), min(f(1), x[j] + offset))
+            at = end
+            if at == len(x):
+                return x, curve
+
+    rng = np.random.default_rng(8)
+    for trial in range(200):
+        n = int(rng.integers(3, 200))
+        x = (rng.uniform(0.5, 2.5) * np.sin(np.arange(n) * rng.uniform(0.01, 0.5) + rng.uniform(0, 6))).astype(f)
+        carried = f(0) if trial % 2 else f(rng.uniform(-0.2, 0.2))
+        got, curve = soft_clip.clip(x, carried)
+        want, end = plain(list(x), carried)
+        assert np.allclose(got, want, atol=1e-7) and np.isclose(curve, end, atol=1e-7)
+
+
 def test_soft_clip():
     t = np.arange(960) / 48000
     loud = (1.4 * np.sin(2 * np.pi * 300 * t)).astype(np.float32)

@@ -1,74 +1,67 @@
 """Pyramid vector quantisation: greedy search, and the combinatorial index of a pulse vector.
 
-``index`` numbers the integer vectors of ``n`` places whose absolute values sum to ``k``; ``vector`` undoes it.
+``index`` numbers the integer vectors of ``n`` places whose absolute values sum to ``k`` in the order of
+RFC 6716, 4.3.4.2; ``vector`` undoes it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 
 
-@lru_cache(maxsize=1 << 16)
-def count(n: int, k: int) -> int:
-    """How many such vectors there are."""
-    if k == 0:
-        return 1
-    if n == 0:
-        return 0
-    return count(n - 1, k) + count(n, k - 1) + count(n - 1, k - 1)
+@lru_cache(maxsize=4096)
+def _row(n: int, most: int) -> tuple[int, ...]:
+    """U(n, 0 .. most), where U(n, k) + U(n, k + 1) vectors have n places and k pulses."""
+    row = [0] + [1] * most
+    for _ in range(n - 1):
+        new = [0]
+        for k in range(1, most + 1):
+            new.append(row[k] + row[k - 1] + new[-1] if k > 1 else 1)
+        row = new
+    return tuple(row)
 
 
-def _below(n: int, k: int) -> int:
-    """Vectors of n places and k pulses whose first place is not negative, without those where it is 0."""
-    return (count(n, k) - count(n - 1, k)) // 2
+def count(n: int, k: int) -> int:
+    """How many such vectors there are."""
+    if not n:
+        return int(k == 0)
+    row = _row(n, k + 1)
+    return row[k] + row[k + 1]
 
 
 def index(pulses: list[int]) -> int:
-    """First by the first place's value: 0, then 1, -1, 2, -2, ..., each with all that can follow."""
+    """Of each place, by what is left after it, and the negative ones after all others."""
     k, total = sum(map(abs, pulses)), 0
+    most = k + 1
     for i, p in enumerate(pulses):
-        rest = len(pulses) - i - 1
-        for smaller in range(abs(p)):
-            total += count(rest, k - smaller) * (1 if smaller == 0 else 2)
-        if p < 0:
-            total += count(rest, k + p)
+        row = _row(len(pulses) - i, most)
+        total += row[k - abs(p)] + (row[k + 1] if p < 0 else 0)
         k -= abs(p)
     return total
 
 
 def vector(number: int, n: int, k: int) -> list[int]:
-    out = []
-    for rest in range(n - 1, -1, -1):
-        size = 0
-        while True:
-            each = count(rest, k - size)
-            block = each * (1 if size == 0 else 2)
-            if number < block:
-                break
-            number -= block
-            size += 1
-        if size and number >= each:
-            number -= each
-            out.append(-size)
-        else:
-            out.append(size)
-        k -= size
+    out, most = [], k + 1
+    for places in range(n, 0, -1):
+        row = _row(places, most)
+        negative = number >= row[k + 1]
+        number -= row[k + 1] if negative else 0
+        left = bisect_right(row, number, 0, k + 1) - 1
+        number -= row[left]
+        out.append(left - k if negative else k - left)
+        k = left
     return out
 
 
 def search(x: np.ndarray, k: int) -> np.ndarray:
-    """The pulses of ``k`` that fit ``x`` best, one at a time: the largest ``(x.y)^2 / y.y``, the first of equals."""
-    size = np.abs(x).astype(np.float64)
-    n = len(size)
-    total = size.sum()
-    if not np.isfinite(total) or total <= 1e-15:
-        size = np.zeros(n)
-        size[0] = total = 1.0
-    y = np.floor(size * ((k - 1) / total)) if k > n / 2 else np.zeros(n)
-    xy, yy = float(size @ y), float(y @ y)
-    for _ in range(k - int(y.sum())):
+    """The pulses of ``k`` that fit ``x`` best, one at a time from none: the largest ``(x.y)^2 / y.y``, the first of equals, in single precision."""
+    size = np.abs(x).astype(np.float32)
+    y = np.zeros(len(size), np.float32)
+    xy = yy = np.float32(0)
+    for _ in range(k):
         score = (xy + size) ** 2 / (yy + 2 * y + 1)
         best = int(np.argmax(score))
         xy, yy = xy + size[best], yy + 2 * y[best] + 1

@@ -48,8 +48,10 @@ def clip(frame: np.ndarray, carried: float) -> tuple[np.ndarray, float]:
         if start == 0 and first * x[top] >= 0 and top >= 2:
             # the excursion began before this frame: a ramp joins the old first sample to the new curve
             offset = first - x[0]
-            x[:top] += offset * (1 - np.arange(top, dtype=np.float32) / np.float32(top))
-            x[:top] = np.clip(x[:top], np.float32(-1), np.float32(1))
+            ramp = np.full(top - at + 1, offset / np.float32(top), np.float32)
+            ramp[0] = offset
+            ramp = np.subtract.accumulate(ramp)[1:]  # lowered by a step before its first sample
+            x[at:top] = np.clip(x[at:top] + ramp, np.float32(-1), np.float32(1))
         at = end
         if at == n:
             break

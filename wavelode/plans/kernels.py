@@ -42,19 +42,21 @@ def q41_concealment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q42_pvq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each frame's first 16 samples as 8 pulses: their index, and how well they fit."""
+    """Each frame's bands of 16 samples as 8 pulses: their index, and how well they fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.array(x.values)[:16]
-                y = pvq.search(x, 8)
-                number = pvq.index(y.tolist())
-                rows.append((i, number, int(np.abs(y).sum()), round(float(x @ pvq.unit(y) / (np.linalg.norm(x) or 1)), 6), pvq.vector(number, len(y), 8) == y.tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(5)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())], names=["vec_id", "pulse_index", "pulses", "fit", "decoded"])
-
-    return frames(spark, sf_dir).select("vec_id", "x").mapInArrow(run, "vec_id long, pulse_index long, pulses long, fit double, decoded boolean")
+                whole = np.array(x.values)
+                for band, x in enumerate(np.split(whole, range(16, len(whole), 16))):
+                    y = pvq.search(x, 8)
+                    number = pvq.index(y.tolist())
+                    rows.append((i, band, number, int(np.abs(y).sum()), round(float(x @ pvq.unit(y) / (np.linalg.norm(x) or 1)), 6), pvq.vector(number, len(y), 8) == y.tolist()))
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["vec_id", "band", "pulse_index", "pulses", "fit", "decoded"])
+
+    return frames(spark, sf_dir).select("vec_id", "x").mapInArrow(run, "vec_id long, band int, pulse_index long, pulses long, fit double, decoded boolean")
 
 
 def q43_mdct(spark: SparkSession, sf_dir: str) -> DataFrame:
