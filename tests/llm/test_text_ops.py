@@ -190,6 +190,21 @@ def test_licences(spark, empty):
     assert licenses.scan(empty, licenses.known_licenses(spark)).collect() == []
 
 
+def test_licences_at_every_width(spark):
+    import textwrap
+
+    texts = dict(licenses.LICENSES[:13])
+    rows = []
+    for name, text in texts.items():
+        for width in range(60, 101):
+            lines = [line for part in text.split("\n") for line in textwrap.wrap(part, width) or [""]]
+            rows.append((f"{name} {width}", "Copyright (c) 2020 Somebody\nAll rights reserved.\n\n" + "\n".join(lines)))
+    rows += [("none (c)", licenses._MIT + "\n(c) what is not a mark"), ("none word", licenses._MIT + "\ncopyright law applies")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    assert all(got[k] == (None if k.startswith("none") else k.split()[0]) for k in got), [k for k in got if got[k] != k.split()[0]]
+
+
 def test_stored_licences(spark):
     apache = """Copyright 2020 Somebody
 

@@ -1,6 +1,6 @@
 """Licence scans by canonical digest: texts are normalised, hashed whole, and joined to known digests.  Native throughout.
 
-The canonical form: A-Z in lower case, typographic marks made plain, copyright lines gone, every run of
+The canonical form: A-Z in lower case, typographic marks made plain, copyright lines (``COPYRIGHT``) gone, every run of
 ASCII punctuation and white space one blank, equivalent spellings made one.  The SHA-256 of the whole
 canonical text is looked up in a table of known licences; so is, for notices of one line, the digest of
 each line.  ``canonical_sql`` gives the same form for another SQL engine.
@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 10_000
 
 # Typographic marks and what they are read as.
-MARKS = "‘’“”–— …•·"
-PLAIN = "''\"\"--  . "[: len(MARKS)].ljust(len(MARKS))
+READ_AS = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "\u00a0": " ", "…": " ", "•": " ", "·": " "}
+MARKS, PLAIN = "".join(READ_AS), "".join(READ_AS.values())
 
 # Spellings read as one, after punctuation is gone; in this order.
 EQUIVALENTS = (
@@ -38,7 +38,9 @@ EQUIVALENTS = (
     ("wilful", "willful"),
     ("https", "http"),
 )
-COPYRIGHT = r"\n[ \t*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Copyright lines: the word with a mark, a year, "by" or the reservation after it, the mark with a year, or the reservation alone.
+#: A line that only begins with the word is text that wraps there.
+COPYRIGHT = r"\n[ \t*#/;-]*(?:copyright(?:[^\n]*(?:\(c\)|©|[0-9]{4}|all rights reserved)|[ \t]+by[ \t])[^\n]*|\(c\)[ \t]*(?:copyright|©|[0-9]{4})[^\n]*|©[^\n]*|all rights reserved[.!]*[ \t\r]*(?m:$))"
 GAPS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 # Texts of public licences and notices, by their usual identifiers.
