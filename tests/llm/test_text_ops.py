@@ -167,6 +167,76 @@ def test_avi_files(spark):
     assert out[1].frames == 1 and out[1].end_us == 40_000 and out[2].error and out[3].error
 
 
+def test_damaged_files_are_value_errors():
+    import random
+
+    rng = random.Random(5)
+    good = avi_mjpeg.store(bytes(rng.randrange(256) for _ in range(9000)))
+    kept = 0
+    for _ in range(400):
+        data = bytearray(good)
+        for _ in range(rng.choice([1, 1, 3, 20])):
+            at = rng.choice([rng.randrange(len(data)), rng.randrange(400), rng.randrange(len(data) - 100, len(data))])
+            data[at] = rng.choice([0, 255, rng.randrange(256)])
+        data = bytes(data[: rng.choice([len(data), len(data), rng.randrange(len(data))])])
+        try:
+            avi_mjpeg.restore(data)
+            kept += 1
+        except ValueError:
+            pass
+    assert 0 < kept < 400
+
+
+def test_colour_frame():
+    """A frame of 4:2:0 colour, 20 x 18, with the standard tables of DC differences: flat blocks but for one AC value."""
+    # Code lengths of the standard's DC tables; symbols are 0 to 11.
+    luminance, chrominance = [0, 1, 5, 1, 1, 1, 1, 1, 1], [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1]
+    tables = {0: (luminance, range(12)), 1: (chrominance, range(12)), 16: ([1, 2], [0, 1, 0x11])}
+    codes = {}
+    for name, (counts, symbols) in tables.items():
+        code, left = 0, iter(symbols)
+        for length, n in enumerate(counts, 1):
+            for _ in range(n):
+                codes[name, next(left)] = format(code, f"0{length}b")
+                code += 1
+            code <<= 1
+
+    def number(v):
+        size = abs(v).bit_length()
+        return size, format(v if v > 0 else v + (1 << size) - 1, f"0{size}b") if size else ""
+
+    bits, last = "", {}
+    levels = np.arange(24) * 5 - 60  # of the luminance blocks in coded order
+    for mcu in range(4):  # 2 by 2 units of 16 x 16
+        for part, dc, values in (("y", 0, levels[4 * mcu : 4 * mcu + 4]), ("b", 1, [7]), ("r", 1, [-9])):
+            for v in map(int, values):
+                size, extra = number(v - last.get(part, 0))
+                last[part] = v
+                bits += codes[dc, size] + extra
+                bits += codes[16, 1] + "1" if part == "y" and v == levels[0] else ""
+                bits += codes[16, 0]
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    table = lambda name, counts, symbols: avi_mjpeg._segment(0xC4, bytes([name, *counts, *[0] * (16 - len(counts)), *symbols]))
+    frame = (
+        b"\xff\xd8"
+        + avi_mjpeg._segment(0xDB, b"\0" + bytes([8] * 64))
+        + avi_mjpeg._segment(0xC0, bytes([8, 0, 18, 0, 20, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0]))
+        + table(0, luminance, range(12)) + table(1, chrominance, range(12)) + table(16, [1, 2], [0, 1, 0x11])
+        + avi_mjpeg._segment(0xDA, bytes([3, 1, 0x00, 2, 0x10, 3, 0x10, 0, 63, 0])) + scan + b"\xff\xd9"
+    )
+    px = avi_mjpeg.decode_frame(frame)
+    assert px.shape == (18, 20)
+    x = np.arange(8)
+    want = np.zeros((32, 32))
+    for i, v in enumerate(levels[:16]):
+        y, z = divmod(i // 4, 2)
+        y, z = 16 * y + 8 * (i % 4 // 2), 16 * z + 8 * (i % 2)
+        want[y : y + 8, z : z + 8] = 128 + int(v)
+    want[:8, :8] += 8 / 4 * np.cos((2 * x + 1) * np.pi / 16)[None] / np.sqrt(2)
+    assert np.abs(px - np.clip(want, 0, 255)[:18, :20]).max() <= 0.5001
+
+
 def test_shots():
     dark, light = np.eye(16)[0], np.eye(16)[15]
     assert [(a, b) for a, b, _ in avi_mjpeg.shots(np.array([dark] * 5 + [light] * 3 + [dark] * 2))] == [(0, 5), (5, 8), (8, 10)]

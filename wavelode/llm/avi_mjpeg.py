@@ -20,7 +20,8 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,19 @@ def build_avi(frames: list[bytes], width: int = SIDE, height: int = SIDE, rate:
     return _chunk(b"RIFF", b"AVI " + _chunk(b"LIST", hdrl) + _chunk(b"LIST", b"".join(movi)) + _chunk(b"idx1", b"".join(index)))
 
 
+def _whole(read: Callable) -> Callable:
+    """Damage of any kind is a ValueError."""
+
+    @wraps(read)
+    def run(*args):
+        try:
+            return read(*args)
+        except (IndexError, KeyError, OverflowError, struct.error) as e:
+            raise ValueError(f"damaged: {type(e).__name__} {e}") from e
+
+    return run
+
+
 def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     while at + 8 <= end:
         tag, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
@@ -103,6 +117,7 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + size % 2
 
 
+@_whole
 def parse_avi(data: bytes) -> dict:
     """``frames``: places and sizes of the video chunks, by the index; ``micros`` a frame; ``indexed``."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
@@ -143,6 +158,7 @@ def _huffman(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
     return table
 
 
+@_whole
 def parse_jpeg(data: bytes) -> dict:
     """Segments of a baseline JPEG: tables, components, restart interval, comments and the scan's bytes."""
     if data[:2] != b"\xff\xd8":
@@ -160,6 +176,8 @@ def parse_jpeg(data: bytes) -> dict:
                 wide, name = divmod(body[0], 16)
                 n = 128 if wide else 64
                 out["quant"][name] = np.frombuffer(body[1 : 1 + n], ">u2" if wide else np.uint8).astype(np.int64)
+                if len(out["quant"][name]) != 64:
+                    raise ValueError("a quantisation table is cut short")
                 body = body[1 + n :]
         elif marker == 0xC4:
             while body:
@@ -169,6 +187,8 @@ def parse_jpeg(data: bytes) -> dict:
                 body = body[17 + n :]
         elif marker in (0xC0, 0xC1):
             depth, out["height"], out["width"], n = struct.unpack_from(">BHHB", body)
+            if not (out["height"] and out["width"] and n and all(s >> 4 and s & 15 for s in body[7 : 7 + 3 * n : 3])):
+                raise ValueError("a frame without samples")
             if depth != 8:
                 raise ValueError("only 8-bit samples are supported")
             out["parts"] = [(body[6 + 3 * i], *divmod(body[7 + 3 * i], 16), body[8 + 3 * i]) for i in range(n)]
@@ -209,6 +229,9 @@ def _scan_coefficients(j: dict) -> dict[int, np.ndarray]:
         hm = vm = 1
         parts = [(parts[0][0], 1, 1, parts[0][3])]
     across, down = -(-j["width"] // (8 * hm)), -(-j["height"] // (8 * vm))
+    # a block takes two bits at least
+    if across * down * sum(p[1] * p[2] for p in parts) * 2 > 8 * len(j["scan"]) + 64:
+        raise ValueError("the scan is cut short")
     out = {p[0]: np.zeros((down * p[2], across * p[1], 64), np.int64) for p in parts}
     segments = _RESTARTS.split(j["scan"])
     pending, bits, held = memoryview(b""), 0, 0
@@ -279,6 +302,7 @@ def samples(coefficients: np.ndarray, quant: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(values + 128), 0, 255).astype(np.uint8)
 
 
+@_whole
 def decode_frame(data: bytes) -> np.ndarray:
     """The first component's samples ``(height, width)``: luminance, or grey."""
     j = parse_jpeg(data)
@@ -286,7 +310,10 @@ def decode_frame(data: bytes) -> np.ndarray:
     if _is_bulk(j):
         raw = bulk_bytes([j["scan"]]).astype(np.int64)
         across = -(-j["width"] // 8)
-        coefficients = np.where(raw < 128, raw - 255, raw).reshape(-1, across, 64)
+        coefficients = np.where(raw < 128, raw - 255, raw)
+        if len(raw) != across * -(-j["height"] // 8) * 64:
+            raise ValueError("a bulk scan is cut short")
+        coefficients = coefficients.reshape(-1, across, 64)
     else:
         coefficients = _scan_coefficients(j)[name]
     rows, across = coefficients.shape[:2]
@@ -295,6 +322,7 @@ def decode_frame(data: bytes) -> np.ndarray:
     return px[: -(-j["height"] * v // vm), : -(-j["width"] * h // hm)]
 
 
+@_whole
 def histograms(data: bytes, frames: list[tuple[int, int]]) -> tuple[np.ndarray, bytes]:
     """Shares of ``BINS`` levels for each frame, and the payload that its comments mark."""
     hist, payload = [], []
@@ -302,6 +330,8 @@ def histograms(data: bytes, frames: list[tuple[int, int]]) -> tuple[np.ndarray,
         group = [parse_jpeg(data[a : a + n]) for a, n in frames[at : at + GROUP]]
         if all(_is_bulk(j) and (j["width"], j["height"]) == (SIDE, SIDE) for j in group):
             raw = bulk_bytes([j["scan"] for j in group])
+            if len(raw) != len(group) * FRAME_BYTES:
+                raise ValueError("a bulk scan is cut short")
             c = raw.astype(np.float32)
             c -= np.float32(255) * (raw < 128)
             px = samples(c.reshape(-1, 64), np.float32(group[0]["quant"][group[0]["parts"][0][3]]))
