@@ -16,6 +16,7 @@ from . import toc
 
 LARGEST_FRAME = 1275
 LONGEST_NS = 120_000_000
+HEADER_REACH = 2 + 1 + 2 * 48
 
 
 def _byte(digits: Column, place: Column) -> Column:
@@ -33,10 +34,10 @@ def padding(digits: Column, start: Column, size: Column) -> Column:
         more = F.struct((acc["used"] + 1).alias("used"), (acc["bytes"] + F.when(b == 255, 254).otherwise(b)).alias("bytes"), (b != 255).alias("done"))
         return F.when(acc["done"], acc).otherwise(more)
 
-    places = F.when(size > start, F.sequence(start, size - 1)).otherwise(F.array().cast("array<int>"))
     # the run of 255 bytes is found first, so the fold is no longer than it
-    run = F.length(F.regexp_extract(F.substring(digits, start * 2 + 1, F.lit(2**30)), "^((?:FF)*)", 1)) / 2
-    return F.aggregate(F.slice(places, F.lit(1), run.cast("int") + 1), none, step)
+    run = (F.length(F.regexp_extract(F.substring(digits, start * 2 + 1, F.lit(2**30)), "^((?:FF)*)", 1)) / 2).cast("int")
+    places = F.when(size > start, F.sequence(start, F.least(size - 1, start + run))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, none, step)
 
 
 def variable_lengths(digits: Column, start: Column, end: Column, count: Column) -> Column:
@@ -59,8 +60,9 @@ def parse(packets: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds the TOC columns, ``lengths array<int>``, ``first`` (offset of the first frame), ``padding_bytes`` and ``error`` (a rule or null)."""
     out = toc.with_config(packets, payload)
     size = F.octet_length(payload)
-    # hexadecimal digits of the header's reach: two bytes, padding, and two bytes for each of at most 48 lengths
-    out = out.withColumn("_n", F.coalesce(size, F.lit(0))).withColumn("_hex", F.hex(payload))
+    # the header's reach: two bytes, a byte of padding, and two bytes for each of at most 48 lengths; a chain of padding bytes may be longer
+    reach = F.when(F.substring(payload, 3, 1) == F.lit(b"\xff"), F.col(payload)).otherwise(F.substring(payload, 1, HEADER_REACH))
+    out = out.withColumn("_n", F.coalesce(size, F.lit(0))).withColumn("_hex", F.hex(reach))
     code, n, digits = F.col("frame_code"), F.col("_n"), F.col("_hex")
     count_byte = _byte(digits, F.lit(1))
     out = out.withColumn("_count", F.when(code == 3, count_byte))
@@ -108,9 +110,10 @@ def parse(packets: DataFrame, payload: str = "payload") -> DataFrame:
 def frames(parsed: DataFrame, payload: str = "payload", with_data: bool = True) -> DataFrame:
     """A row per frame of the packets without error: ``frame_pos, frame_offset, frame_length`` and ``data``."""
     keep = [c for c in parsed.columns if c != payload or with_data]
-    out = parsed.where("error is null").select(*keep, F.posexplode("lengths").alias("frame_pos", "frame_length"))
-    before = F.aggregate(F.slice("lengths", F.lit(1), F.col("frame_pos")), F.col("first"), lambda a, x: a + x)
-    out = out.withColumn("frame_offset", before)
+    # packets with an error have no lengths; one fold gives every frame its place
+    start = F.struct(F.col("first").cast("int").alias("at"), F.array().cast("array<struct<frame_offset:int,frame_length:int>>").alias("all"))
+    placed = F.aggregate("lengths", start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.array_append(a["all"], F.struct(a["at"].alias("frame_offset"), x.alias("frame_length"))).alias("all")), lambda a: a["all"])
+    out = parsed.select(*keep, F.posexplode(placed).alias("frame_pos", "_frame")).select(*keep, "frame_pos", "_frame.frame_length", "_frame.frame_offset")
     if with_data:
         out = out.withColumn("data", F.substring(payload, F.col("frame_offset") + 1, F.col("frame_length"))).drop(payload)
     return out
