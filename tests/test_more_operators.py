@@ -132,3 +132,13 @@ def test_live_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = [bytes(r.payload) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.error is None]
     assert sorted(got) == sorted(PACKETS)
+
+
+def test_rates_of_settings():
+    from wavelode.config import DecoderConfig, EncoderConfig
+
+    assert EncoderConfig(bitrate=24_000, complexity=5).threshold_rate() == 22_000 * 95 // 100
+    assert EncoderConfig(bitrate=24_000, complexity=4, vbr=True).threshold_rate() == 24_000 * 94 // 100 * 9 // 10
+    DecoderConfig(48_000, 2).check_lost(1920)
+    with pytest.raises(ValueError):
+        DecoderConfig(48_000, 2).check_lost(960)

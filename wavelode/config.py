@@ -46,6 +46,11 @@ class EncoderConfig:
         rate = self.bitrate if self.vbr else self.bitrate - self.bitrate // 12
         return rate * (90 + self.complexity) // 100
 
+    def threshold_rate(self) -> int:
+        """The equivalent rate that stereo width and mode are told by: at low complexity, without a pitch filter, a tenth less."""
+        rate = self.equivalent_rate()
+        return rate if self.complexity >= 5 else rate * 9 // 10
+
     def chosen_bandwidth(self) -> str:
         """By rate a channel, and no more than the largest allowed; or as set."""
         if self.bandwidth:
@@ -63,3 +68,8 @@ class DecoderConfig:
     def __post_init__(self) -> None:
         if self.sample_rate not in RATES or self.channels not in (1, 2):
             raise ValueError(f"no such output: {self.sample_rate} Hz, {self.channels} channels")
+
+    def check_lost(self, samples: int) -> None:
+        """What is lost is concealed by frames of 20 ms: ``samples`` of all channels."""
+        if samples != self.sample_rate // 50 * self.channels:
+            raise ValueError(f"a lost frame has {self.sample_rate // 50 * self.channels} samples, not {samples}")

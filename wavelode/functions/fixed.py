@@ -82,3 +82,43 @@ def log2lin(x: Column) -> Column:
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(F.greatest(whole, F.lit(0)), F.lit(31)).cast("int"))
     value = F.when(x < 2048, one + F.shiftright(one * curve, 7)).otherwise(one + F.shiftright(one, 7) * curve)
     return F.when(x < 0, 0).when(x >= 3967, HIGH).otherwise(value)
+
+
+def mul16_round(a: Column, b: Column) -> Column:
+    """Product of the low halves over 2**15, halves upward."""
+    return F.shiftright(16384 + low16(a.cast("long")) * low16(b.cast("long")), 15)
+
+
+def cos_q15(x: Column) -> Column:
+    """Cosine of ``x`` / 2**14 quarter turns (64 to 16320), by a parabola of parabolas: the same on every machine."""
+    y = F.shiftright(4096 + x.cast("long") * x.cast("long"), 13)
+    return 1 + (32767 - y) + mul16_round(y, -7651 + mul16_round(y, 8277 + mul16_round(F.lit(-626), y)))
+
+
+def log2_tan_q11(sine: Column, cosine: Column) -> Column:
+    """2048 log2 of their quotient, both brought to 15 bits."""
+
+    def parts(x: Column) -> tuple[Column, Column]:
+        bits = 32 - leading_zeros(x.cast("long"))
+        full = F.call_function("shiftleft", x.cast("long"), (15 - bits).cast("int"))
+        return bits, mul16_round(full, mul16_round(full, F.lit(-2597)) + 7932)
+
+    (bits_s, curve_s), (bits_c, curve_c) = parts(sine), parts(cosine)
+    return (bits_s - bits_c) * 2048 + curve_s - curve_c
+
+
+def square_root(x: Column) -> Column:
+    """The largest integer whose square is not above ``x`` (of 32 bits)."""
+    guess = F.floor(F.sqrt(x.cast("double")))
+    return F.when(guess * guess > x, guess - 1).when((guess + 1) * (guess + 1) <= x, guess + 1).otherwise(guess)
+
+
+def fold_mask(fill: Column) -> Column:
+    """Pairs of bits of a byte as one bit each: set where either is."""
+    pairs = fill.bitwiseOR(F.shiftright(fill, 1))
+    return sum((F.shiftleft(F.shiftright(pairs, 2 * i).bitwiseAND(1), i) for i in range(1, 4)), pairs.bitwiseAND(1))
+
+
+def unfold_mask(mask: Column) -> Column:
+    """Each of four bits twice."""
+    return sum((F.shiftright(mask, i).bitwiseAND(1) * (3 << 2 * i) for i in range(1, 4)), mask.bitwiseAND(1) * 3)

@@ -125,3 +125,17 @@ def fade_in(frame: Column, piece: Column, start: int, n: int) -> Column:
     """From ``piece`` to ``frame`` over ``n`` samples from ``start`` on, in the squared window; the frame elsewhere."""
     w = F.array(*(F.lit(v) for v in fade_window(n)))
     return F.transform(frame, lambda x, i: F.when((i >= start) & (i < start + n), F.get(piece, i - start) * (1.0 - F.get(w, i - start)) + x * F.get(w, i - start)).otherwise(x))
+
+
+def biased_l1(x: Column, bias: Column) -> Column:
+    """The sum of absolute values, raised by a share of itself."""
+    return abs_sum(x) * (1 + bias)
+
+
+def collapse_mask(pulses: Column, blocks: int) -> Column:
+    """A bit for each block of equal size that holds a pulse; 1 for a single block."""
+    if blocks <= 1:
+        return F.lit(1)
+    size = F.floor(F.size(pulses) / blocks).cast("int")
+    held = (F.exists(F.slice(pulses, i * size + 1, size), lambda p: p != 0).cast("int") * (1 << i) for i in range(blocks))
+    return sum(held, F.lit(0))

@@ -74,6 +74,26 @@ def samples_per_frame(mode: Column, sample_rate: Column, frame_ns: Column) -> Co
     return F.floor(rate.cast("long") * frame_ns / 1_000_000_000)
 
 
+def decoded_rate(mode: Column, sample_rate: Column) -> Column:
+    """The rate a decoder works at: the bandwidth's for SILK, 48 kHz otherwise."""
+    return F.when(mode == MODES[0], sample_rate).when(mode.isNotNull(), 48000).cast("int")
+
+
+def samples_at(samples: Column, rate: Column) -> Column:
+    """Samples of 48 kHz as so many at an output rate."""
+    return F.floor(samples.cast("long") * rate / 48000)
+
+
+def fade_samples(rate: Column) -> Column:
+    """The 2.5 ms in which one layer takes over from the other."""
+    return F.floor(rate / 400).cast("int")
+
+
+def redundant_samples(rate: Column) -> Column:
+    """The 5 ms of a redundant frame, at an output rate."""
+    return F.floor(rate / 200).cast("int")
+
+
 def with_toc(packets: DataFrame, payload: str = "payload") -> DataFrame:
     """Adds ``toc, config, is_stereo, frame_code``; null for empty packets."""
     out = packets.withColumn("toc", byte_at(F.col(payload), 0))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernels, packets, samples, streams
+from . import columns, kernels, packets, samples, streams
 
-_MODULES = (packets, samples, streams, kernels)
+_MODULES = (packets, samples, streams, kernels, columns)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
