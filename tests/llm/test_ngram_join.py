@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from wavelode.llm import ngram_join
+from wavelode.llm import ngram_join, queries
+
+from ..compare import same
 
 
 def brute(rows, k, num, den):
@@ -86,6 +88,10 @@ def test_whole_table(spark, sf):
     assert sorted(map(tuple, out.collect()), key=str) == brute(rows, 4, 85, 100)
 
 
+def test_whole_table_by_sql(spark, sf, duck):
+    same(queries.op9_ngram_jaccard_join(spark, sf), duck.sql(queries.oracle_sql()["op9_ngram_jaccard_join"]))
+
+
 def test_drop_similar(spark):
     rows = corpus(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))

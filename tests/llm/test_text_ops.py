@@ -127,6 +127,7 @@ def test_hilbert_curve_is_one_path():
 def test_shards(docs, texts, empty):
     out = sharding.by_bytes(docs, 7).collect()
     assert sorted(r["size"] for r in out) == sorted(len((t[1] or "").encode()) + 16 for t in texts)
+    assert sorted((r["size"], r.text_crc32) for r in out) == sorted((len(d) + 16, zlib.crc32(d)) for t in texts for d in [(t[1] or "").encode()])
     by = {}
     for r in out:
         by.setdefault(r.shard, []).append(r)

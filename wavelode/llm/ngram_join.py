@@ -528,3 +528,17 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         again = comp.where("n > 0 and id is not null").groupBy("id", "th").count().where("count > 1").select(F.col("id").alias(key), F.col("th").alias(text_key))
         kept = kept.join(again, [key, text_key], "left_anti").unionByName(kept.join(again, [key, text_key], "left_semi").dropDuplicates([key, text_key]))
     return kept.select(docs.columns)
+
+
+def components_sql(k: int, num: int, den: int, table: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
+    """The same as DuckDB SQL over all pairs of unlike sets that share a shingle, for unlike ids; small tables only."""
+    return f"""WITH RECURSIVE w AS (SELECT {id_col} AS id, list_filter(string_split_regex(translate(coalesce({text_col}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM {table}),
+s AS (SELECT id, CASE WHEN len(words) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(words) < {k} THEN [array_to_string(words, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(words) - {k - 2}), lambda i: array_to_string(words[i:i + {k - 1}], ' ')))) END AS grams FROM w),
+c AS (SELECT min(id) AS node, grams FROM s WHERE len(grams) > 0 AND id IS NOT NULL GROUP BY grams),
+g AS (SELECT node, len(grams) AS n, unnest(grams) AS gram FROM c),
+p AS (SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON a.gram = b.gram AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT node AS id, node AS met FROM c UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.met),
+m AS (SELECT id, min(met) AS comp FROM r GROUP BY id)
+SELECT s.id AS {id_col}, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(m.comp, s.id) AS component_id FROM s LEFT JOIN c ON c.grams = s.grams AND s.id IS NOT NULL LEFT JOIN m ON m.id = c.node"""

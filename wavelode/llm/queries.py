@@ -82,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_threshold_topk": topk_search.search_sql(50, 5, 256), "op2_warc_index": warc.archive_sql(1000), "op6_license_digests": licenses.scan_sql()}
+    return {"op1_threshold_topk": topk_search.search_sql(50, 5, 256), "op2_warc_index": warc.archive_sql(1000), "op6_license_digests": licenses.scan_sql(), "op9_ngram_jaccard_join": ngram_join.components_sql(4, 85, 100)}
