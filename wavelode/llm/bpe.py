@@ -284,7 +284,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             ids = [x.astype(np.int32) for x in bpe.encode_all(batch.column(batch.schema.get_field_index(text_col)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, ids_col])
 
-    return docs.drop(ids_col).mapInArrow(run, schema.schema)
+    return docs.drop(ids_col).mapInArrow(common.tidy(run), schema.schema)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -298,7 +298,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", text_col: str = "de
             texts = [bpe.decode(np.array(i or [], "<u4").tobytes()).decode() for i in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
-    return docs.drop(text_col).mapInArrow(run, schema.schema)
+    return docs.drop(text_col).mapInArrow(common.tidy(run), schema.schema)
 
 
 def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,4 +315,4 @@ def round_trip_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,21 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives freed memory back: Spark keeps workers for later tasks, and their allocators keep what a task freed."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def whole_strings(texts: pa.Array) -> pa.Array:
     """The texts as an array of its own, nulls as empty: string kernels misread slices that were cast."""
     own = texts.take(pa.array(np.arange(len(texts))))
@@ -97,7 +113,7 @@ def global_prefix(df: DataFrame, order: list[str], weight: str, name: str) -> tu
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n, dtype=np.int64)), pa.array(ends - w)], names=schema.names)
             row, total = row + n, int(ends[-1])
 
-    local = stage(ranged.mapInArrow(run, schema), name)
+    local = stage(ranged.mapInArrow(tidy(run), schema), name)
     totals = local.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w")).orderBy("part").collect()  # a row per partition
     before, rows, weights = [], 0, 0
     for t in totals:

@@ -332,4 +332,4 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", spans_col:
                 names.append(spans_col)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(common.tidy(run), schema)

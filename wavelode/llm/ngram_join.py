@@ -423,9 +423,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = common.shuffle_partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hashed = source.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = common.stage(hashed.mapInArrow(_digest_scan(k), "id long, th long, d1 long, d2 long, n int, sig binary, chunk int, counts binary"), "ngram-rows")
+    both = common.stage(hashed.mapInArrow(common.tidy(_digest_scan(k)), "id long, th long, d1 long, d2 long, n int, sig binary, chunk int, counts binary"), "ngram-rows")
     rows = both.where("n is not null").select("id", "th", "d1", "d2", "n", "sig")
-    sketch = both.where("chunk is not null").select("chunk", "counts").repartition(min(CHUNKS, parts), "chunk").mapInArrow(_add_sketches, "chunk int, levels binary").collect()  # 2**20 bytes
+    sketch = both.where("chunk is not null").select("chunk", "counts").repartition(min(CHUNKS, parts), "chunk").mapInArrow(common.tidy(_add_sketches), "chunk int, levels binary").collect()  # 2**20 bytes
     size = (1 << SKETCH_BITS) // CHUNKS
     levels = bytearray(1 << SKETCH_BITS)
     for r in sketch:
@@ -434,15 +434,15 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = common.stage(rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "ngram-reps")
 
     row = "token long, pos int, n int, d1 long, d2 long, part int"
-    prefixes = source.where("id is not null").select("text").mapInArrow(_prefix_scan(k, num, den, shared, RUN), row)
-    runs = prefixes.repartition(parts, "token", "part").sortWithinPartitions("token", "part", "d1", "d2").mapInArrow(_shared_only, row)
+    prefixes = source.where("id is not null").select("text").mapInArrow(common.tidy(_prefix_scan(k, num, den, shared, RUN)), row)
+    runs = prefixes.repartition(parts, "token", "part").sortWithinPartitions("token", "part", "d1", "d2").mapInArrow(common.tidy(_shared_only), row)
     runs = common.stage(runs, "ngram-shared")
     named = common.stage(runs.join(reps.drop("id"), ["d1", "d2"]).drop("d1", "d2"), "ngram-named")
     common.unstage(runs)
     shared_by = named.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
     central = named.join(shared_by, "node")
     central = central.repartition(parts, "token", "part").sortWithinPartitions("token", "part", F.desc("shared"), "node").select("token", "part", "pos", "n", "node")
-    placed = common.stage(central.mapInArrow(_number_runs, NUMBERED), "ngram-runs")
+    placed = common.stage(central.mapInArrow(common.tidy(_number_runs), NUMBERED), "ngram-runs")
     common.unstage(named)
     numbered, run_parts = _run_on(placed)
     longest = numbered.agg(F.max("place")).first()[0]
@@ -458,13 +458,13 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pivots = now.where((F.col("part") > 0) & (F.col("place") >= low) & (F.col("place") < high))
         # the pivots of a dealt run go to the parts behind them
         sent = pivots.join(run_parts.select("token", F.col("part").alias("to")), "token").where("to > part").withColumn("part", F.col("to")).select(now.columns)
-        pairs = now.union(sent).repartition(parts, "token", "part").sortWithinPartitions("token", "part", "place").mapInArrow(_emit_pairs(low, high, num, den), "p long, x long")
+        pairs = now.union(sent).repartition(parts, "token", "part").sortWithinPartitions("token", "part", "place").mapInArrow(common.tidy(_emit_pairs(low, high, num, den)), "p long, x long")
         pairs = common.stage(pairs.distinct(), "ngram-pairs")
         ends = pairs.select(F.col("p").alias("node")).union(pairs.select(F.col("x").alias("node"))).distinct().join(nodes, "node")
         signed = rows.join(ends, ["id", "d1", "d2"]).dropDuplicates(["node"]).select("node", "n", "sig")
         signed = common.stage(signed, "ngram-signatures")
         both_ends = pairs.join(signed.toDF("p", "np", "sp"), "p").join(signed.toDF("x", "nx", "sx"), "x")
-        near = common.stage(both_ends.mapInArrow(_near_signatures(num, den), "p long, x long, nx long"), "ngram-near")
+        near = common.stage(both_ends.mapInArrow(common.tidy(_near_signatures(num, den)), "p long, x long, nx long"), "ngram-near")
         common.unstage(pairs)
         common.unstage(signed)
         pairs = near
@@ -474,12 +474,12 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if n_needed := needed.count():
             right = needed.withColumnRenamed("id", "held_by")
             right = F.broadcast(right) if n_needed <= BROADCAST_IDS else right
-            sets = source.join(right, source["id"] == right["held_by"]).select("node", "text", "d1", "d2").mapInArrow(_set_scan(k), "node long, grams binary")
+            sets = source.join(right, source["id"] == right["held_by"]).select("node", "text", "d1", "d2").mapInArrow(common.tidy(_set_scan(k)), "node long, grams binary")
             sets = common.stage(sets, "ngram-sets")
             blocks = pairs.join(per_pivot.select("p", "blocks"), "p").select("p", "x", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"))
             members = blocks.join(sets.withColumnRenamed("node", "x"), "x").select("p", "block", "x", "grams")
             heads = per_pivot.select("p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets.withColumnRenamed("node", "p"), "p").select("p", "block", F.lit(None).cast("long").alias("x"), "grams")
-            found = heads.union(members).repartition(parts, "p", "block").sortWithinPartitions("p", "block", F.col("x").asc_nulls_first()).mapInArrow(_search(num, den), "a long, b long")
+            found = heads.union(members).repartition(parts, "p", "block").sortWithinPartitions("p", "block", F.col("x").asc_nulls_first()).mapInArrow(common.tidy(_search(num, den)), "a long, b long")
             found = common.stage(found, "ngram-links")
             common.unstage(sets)
             if found.head(1):

@@ -81,7 +81,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // size for x in out], pa.int64()), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n", "key", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, key long, ids binary")
+    return rows.mapInArrow(common.tidy(run), "doc_id long, n long, key long, ids binary")
 
 
 def boundaries_after(total: int, length: int) -> list[int]:
@@ -126,4 +126,4 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2, id_col
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     placed = tokens.select("uid", "doc_id", "n", "ids").join(order.select("uid", "weight_at"), "uid")
-    return placed.select("doc_id", "n", "weight_at", "ids").mapInArrow(run, schema)
+    return placed.select("doc_id", "n", "weight_at", "ids").mapInArrow(common.tidy(run), schema)

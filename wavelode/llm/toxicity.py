@@ -56,6 +56,8 @@ _WORD = r"[^\W_]+(?:[@$!][^\W_]+)*"
 _WORDS = re.compile(_WORD, re.UNICODE)
 _MARKS = re.compile("[“”\"«»„]")
 _PLAINER = str.maketrans(DISGUISE)
+#: Counts of terms that a task holds before it hands them on.
+HELD_TERMS = 100_000
 #: Characters of text whose words are looked up at once.
 BLOCK = 1_000_000
 
@@ -307,7 +309,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             times = _times(text)
             counts[label].update(times.keys())
             counts[2 + label].update(t for t, n in times.items() if n > 1)
-        if sum(map(len, counts)) > 500_000:
+        if sum(map(len, counts)) > HELD_TERMS:
             yield rows()
     yield rows()
 
@@ -435,14 +437,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = [marked.where(F.col("label") == v).orderBy(F.xxhash64(F.col("id")), "id").limit(sample_rows) for v in (0, 1)]
     few = picked[0].union(picked[1])
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    near = source.join(F.broadcast(few), "id").select("text", "label").mapInArrow(_keyed, "text string, label int, key long")  # at most 2 * sample_rows ids
+    near = source.join(F.broadcast(few), "id").select("text", "label").mapInArrow(common.tidy(_keyed), "text string, label int, key long")  # at most 2 * sample_rows ids
     # copies, and most near copies, say no more than one of them; the smallest text stays
     sample = common.stage(near.groupBy("label", "key").agg(F.min("text").alias("text")).select("text", "label"), "toxic-sample")
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
         return Model((), (0.0,) * len(FEATURES), math.log((ones + 0.5) / (zeros + 0.5)))  # nothing is found, so at most 1/2
-    counted = sample.mapInArrow(_count_terms, "term string, stem boolean, zeros long, ones long, zeros2 long, ones2 long").groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "zeros2", "ones2")))
+    counted = sample.mapInArrow(common.tidy(_count_terms), "term string, stem boolean, zeros long, ones long, zeros2 long, ones2 long").groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "zeros2", "ones2")))
 
     def evidence(n1: Column, n0: Column) -> Column:
         share = ones / (ones + zeros)
@@ -455,9 +457,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     top = counted.where("ones >= 3").withColumn("best", best).where(F.col("best.gain") >= EVIDENCE).orderBy(F.desc("best.gain"), "stem", "term").select("term", "stem", "best.odds").collect()  # terms of at most 2 * sample_rows texts
     strong = [(r["term"], r["stem"], float(r["odds"])) for r in top]
     candidates = _prune(strong)
-    held = sample.mapInArrow(_hold(tuple(candidates)), "label int, held array<int>, twice array<int>").collect()  # at most 2 * sample_rows short rows
+    held = sample.mapInArrow(common.tidy(_hold(tuple(candidates))), "label int, held array<int>, twice array<int>").collect()  # at most 2 * sample_rows short rows
     trie_terms = _beside(_choose(candidates, [(r["label"], r["held"], r["twice"]) for r in held]), strong)
-    near_counts = sample.mapInArrow(_count_near(trie_terms), "at int, edits int, label int, n long").groupBy("at", "edits", "label").agg(F.sum("n").alias("n")).collect()  # at most four rows a term
+    near_counts = sample.mapInArrow(common.tidy(_count_near(trie_terms)), "at int, edits int, label int, n long").groupBy("at", "edits", "label").agg(F.sum("n").alias("n")).collect()  # at most four rows a term
     edits = _bearable(trie_terms, {(r["at"], r["edits"], r["label"]): r["n"] for r in near_counts}, ones, zeros)
     model = Model(trie_terms, (0.0,) * len(FEATURES), 0.0, edits)
 
@@ -467,7 +469,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [x for x, _ in scan_all(batch.column(0).to_pylist(), trie)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
-    got = sample.mapInArrow(features, "x array<double>, label int").collect()  # at most 2 * sample_rows short rows
+    got = sample.mapInArrow(common.tidy(features), "x array<double>, label int").collect()  # at most 2 * sample_rows short rows
     got.sort(key=lambda r: (r["label"], r["x"]))  # sums in one order
     x, y = np.array([r["x"] for r in got]), np.array([r["label"] for r in got], float)
     # a find never speaks against label 1: features that would are left out, the worst first
@@ -520,7 +522,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
                 columns.append(pa.array([[dict(zip(("start", "end", "kind", "term", "quoted"), x, strict=True)) for x in f[1]] for f in found], kind))
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(common.tidy(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):
