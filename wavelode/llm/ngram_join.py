@@ -453,7 +453,15 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         now = numbered.join(comps.withColumnRenamed("id", "node"), "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else numbered.withColumn("comp", F.col("node"))
         if low:
             open_runs = now.groupBy("token").agg(F.max("place").alias("last"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("last") > low) & (F.col("lo") < F.col("hi"))).select("token")
-            now = now.join(open_runs, "token", "left_semi")
+            # by part, so that a frequent shingle is met in the tasks that it is dealt over
+            open_parts = open_runs.join(run_parts.select("token", "part"), "token", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+            # a run that lies in one component, or whose rows were all pivots, stays so: later rounds read the others alone
+            now = common.stage(now.join(open_parts, ["token", "part"], "left_semi"), "ngram-open")
+            common.unstage(placed)
+            placed, numbered = now, now.drop("comp")
+            longest = now.agg(F.max("place")).first()[0]
+            if longest is None:
+                break
         now = now.select("token", "part", "place", "n", "pos", "node", "comp")
         pivots = now.where((F.col("part") > 0) & (F.col("place") >= low) & (F.col("place") < high))
         # the pivots of a dealt run go to the parts behind them
